@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import canonical, leak, looks, spans, survivor
+from leadloom.llm import canonical, encode, leak, looks, spans, survivor
 from leadloom.llm.sql import SQL
 from leadloom.sources.tables import table
 
@@ -31,6 +31,10 @@ def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.copies(table(spark, sf_dir, "companies"), "id", _urls())
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
@@ -41,7 +45,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p7_found, p7_copies, p9_found, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p7_found, p7_copies, p8_ids, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
