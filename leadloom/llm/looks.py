@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,23 +31,26 @@ def _alike_table() -> dict[int, str]:
     return {ord(c): group[0] for group in ALIKE for c in group[1:] if c != group[0]}
 
 
-@functools.cache
-def _ignorable() -> re.Pattern:
-    """Characters that draw nothing: format characters, variation selectors and fillers."""
-    extra = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE1000)}
-    formats = {c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"}
-    return re.compile("[" + "".join(map(re.escape, map(chr, sorted(formats | extra)))) + "]+")
+class _Shapes(dict):
+    """A translation table that learns each character when it first occurs."""
 
+    #: Fillers and joiners that draw nothing beside the format characters and variation selectors.
+    EMPTY = frozenset({0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE1000)})
 
-@functools.cache
-def _kept_apart() -> re.Pattern:
-    """Characters whose compatibility form is a longer text: a ligature of words is not drawn like the words."""
-    wide = ("<wide>", "<narrow>")
-    found = [c for c in range(0x2000, sys.maxunicode + 1) if (d := unicodedata.decomposition(chr(c))).startswith("<") and not d.startswith(wide) and len(unicodedata.normalize("NFKC", chr(c))) > 1]
-    return re.compile("([" + "".join(map(re.escape, map(chr, found))) + "]+)")
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        form = unicodedata.normalize("NFKC", c)
+        if code in self.EMPTY or unicodedata.category(c) == "Cf":
+            form = ""
+        elif c.isspace():
+            form = " "
+        elif len(form) > 1 and unicodedata.decomposition(c).startswith("<") and unicodedata.decomposition(c).split(">")[0] not in ("<wide", "<narrow"):
+            form = c  # a ligature of words is not drawn like the words
+        self[code] = form
+        return form
 
 
-_SPACE = re.compile(r"\s")
+_SHAPES = _Shapes()
 
 
 @functools.cache
@@ -56,16 +58,20 @@ def _table() -> dict[int, str]:
     return _alike_table()
 
 
+def plain(text: str) -> str:
+    """The text in composed form, of one character width, without invisible characters."""
+    return unicodedata.normalize("NFC", text.translate(_SHAPES))
+
+
 def one_form(text: str) -> str:
     """The text in composed compatibility form without invisible characters, with plain spaces and one letter per look.
 
     Spaces at either end go; spaces within stay as many as they are. Letter case stays, as it can be seen.
     """
-    text = _ignorable().sub("", text)
+    text = text.translate(_SHAPES)
     if not text.isascii():
-        text = "".join(p if i % 2 else unicodedata.normalize("NFKC", p) for i, p in enumerate(_kept_apart().split(text)))
-        text = text.translate(_table())
-    return _SPACE.sub(" ", text).strip()
+        text = unicodedata.normalize("NFC", text).translate(_table())
+    return text.strip(" ")
 
 
 _POSTCODE = re.compile(r"^[〒T]?\s*\d{3}[-ー ]?\d{4}\s*")
