@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import canonical, encode, history, leak, looks, spans, survivor
+from leadloom.llm import address, canonical, encode, history, leak, looks, spans, survivor
 from leadloom.llm.sql import SQL
 from leadloom.sources.tables import table
 
@@ -23,6 +23,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(table(spark, sf_dir, "companies"), table(spark, sf_dir, "company_batches"), "id", {"form": "form_url", "home": "hp_url"}, "ord")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = table(spark, sf_dir, "sheet_row").where(F.col("id").isNull())
+    return address.same_places(table(spark, sf_dir, "companies"), typed, "id", "row_no", "address", "住所")
+
+
 def _urls() -> list:
     return [canonical.canonical_url(F.col("form_url")), canonical.canonical_url(F.col("hp_url"))]
 
@@ -49,7 +54,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p7_found, p7_copies, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
