@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import address, canonical, encode, history, leak, looks, spans, survivor
+from leadloom.llm import address, canonical, encode, history, leak, looks, names, spans, survivor
 from leadloom.llm.sql import SQL
 from leadloom.sources.tables import table
 
@@ -19,6 +19,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.look_alikes(table(spark, sf_dir, "companies"), "id", ["name", "phone", "address"])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = table(spark, sf_dir, "sheet_row").where(F.col("id").isNull())
+    stored = {c: F.col(c) for c in ("name", "industry", "area", "phone", "address")}
+    hand = {"name": F.col("会社名"), "industry": F.col("業種"), "area": F.col("エリア"), "phone": F.col("電話番号"), "address": F.col("住所")}
+    return names.same_organisations(table(spark, sf_dir, "companies"), typed, "id", "row_no", stored, hand)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(table(spark, sf_dir, "companies"), table(spark, sf_dir, "company_batches"), "id", {"form": "form_url", "home": "hp_url"}, "ord")
 
@@ -54,7 +61,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
