@@ -152,7 +152,7 @@ def shared_spans(docs: DataFrame, key: str, text: str = "text", span: int = 120,
     fingerprints = anchors(docs, key, text, span, gram)
     homes = fingerprints.groupBy("h").agg(F.min("doc").alias("home"), F.max("doc").alias("top")).where("home <> top").drop("top")
     recurring = cut(fingerprints.join(homes, "h"))
-    found = cut(occurrences(docs, recurring, key, text, span, gram).distinct())
+    found = cut(occurrences(docs, recurring, key, text, span, gram))
     left = found.select("h", F.col("doc").alias("doc_a"), F.col("before").alias("ba"), F.col("after").alias("aa"))
     right = found.select("h", F.col("doc").alias("doc_b"), F.col("before").alias("bb"), F.col("after").alias("ab"))
     met = left.join(right, "h").where("doc_a < doc_b")
