@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from leadloom.plans import copies
+from leadloom.plans import copies, core, core_sql
 
 
 def queries() -> dict:
-    return {"p1_found": copies.p1_found}
+    return {"p1_found": copies.p1_found} | {f.__name__: f for f in core.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": copies.P1_SQL}
+    return {"p1_found": copies.P1_SQL} | core_sql.SQL
