@@ -51,14 +51,17 @@ def query(c: Column) -> Column:
     return F.regexp_extract(_text(c), r"(?s)^[^?#]*\?([^#]*)", 1)
 
 
-def kept_query(c: Column, dropped: list[str], any_case: bool = False) -> Column:
-    """'?' and the parameters whose names aren't in `dropped`; '' if none is left."""
+def kept_query(c: Column, dropped: list[str], any_case: bool = False, as_written: bool = False) -> Column:
+    """'?' and the parameters whose names aren't in `dropped`; '' if none is left. as_written: a query without any of them stays as it is."""
 
-    def stays(p: Column) -> Column:
+    def goes(p: Column) -> Column:
         name = F.substring_index(p, "=", 1)
-        return (p != "") & ~(F.lower(name) if any_case else name).isin(dropped)
+        return (F.lower(name) if any_case else name).isin(dropped)
 
-    kept = F.array_join(F.filter(F.split(query(c), "&"), stays), "&")
+    params = F.split(query(c), "&")
+    kept = F.array_join(F.filter(params, lambda p: (p != "") & ~goes(p)), "&")
+    if as_written:
+        kept = F.when(F.exists(params, goes), kept).otherwise(query(c))
     return F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))
 
 
@@ -67,7 +70,7 @@ def store_key(c: Column) -> Column:
     tracking parameters, port, user and fragment; text that is no address in lower case without spaces around. [UR-01]"""
     u = F.regexp_replace(_text(c), r"(?i)&amp;", "&")
     plain = F.regexp_replace(F.regexp_replace(path(u), r"/+$", ""), r"/{2,}", "/")
-    key = F.regexp_replace(F.lower(F.concat(host(u), encoded(plain), encoded(kept_query(u, lists.STORE_KEY_PARAMS, any_case=True)))), r"^www\.", "")
+    key = F.regexp_replace(F.lower(F.concat(host(u), encoded(plain), encoded(kept_query(u, lists.STORE_KEY_PARAMS, any_case=True, as_written=True)))), r"^www\.", "")
     return F.when(host(u) != "", key).otherwise(F.trim(F.lower(u)))
 
 

@@ -64,7 +64,10 @@ def _path(c: str) -> str:
 def _kept(c: str, dropped, low: bool = False) -> str:
     name = "split_part(x, '=', 1)"
     name = f"lower({name})" if low else name
-    kept = f"array_to_string(list_filter(string_split({_x(_text(c), '^[^?#]*\\?([^#]*)')}, '&'), lambda x: x <> '' AND NOT list_contains({_list(dropped)}, {name})), '&')"
+    query = _x(_text(c), "^[^?#]*\\?([^#]*)")
+    kept = f"array_to_string(list_filter(string_split({query}, '&'), lambda x: x <> '' AND NOT list_contains({_list(dropped)}, {name})), '&')"
+    if low:  # the store key leaves a query without such parameters as it is
+        kept = f"(CASE WHEN len(list_filter(string_split({query}, '&'), lambda x: list_contains({_list(dropped)}, {name}))) > 0 THEN {kept} ELSE {query} END)"
     return f"(CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END)"
 
 
