@@ -15,6 +15,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "companies"), "normalized_form_url", "id", "collected_at", fields)
 
 
+def p2_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.consensus(table(spark, sf_dir, "companies"), "normalized_form_url", "id", "name")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.look_alikes(table(spark, sf_dir, "companies"), "id", ["name", "phone", "address"])
 
@@ -61,7 +65,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_names, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

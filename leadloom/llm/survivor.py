@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +46,97 @@ def survivors(df: DataFrame, group: str, key: str, collected: str, fields: dict[
     """(keep_id, <field>_id ...): for each non-empty group of two rows or more, its smallest id and per field the id of the
     row collected last among those whose condition holds, '' where it holds for none.
 
-    A missing or unreadable time counts as earliest; on a tie the smaller id is taken. A null condition is false. One
+    A missing or unreadable time counts as earliest; on a tie the smaller id is taken. A null condition is false; rows
+    with a null id are left out; a repeated row counts as two, so its group has a result. One
     aggregate with map-side combining: a group that holds a third of the rows is one row per task.
     """
     late = F.coalesce(instant(F.col(collected)), F.lit(-(2**62)).cast("bigint"))
-    rows = df.where(F.col(group).isNotNull() & (F.col(group) != "")).select(
+    rows = df.where(F.col(group).isNotNull() & (F.col(group) != "") & F.col(key).isNotNull()).select(
         F.col(group).alias("g"), F.col(key).cast("string").alias("id"), (-late).alias("age"), *(F.coalesce(ok, F.lit(False)).alias(f"ok_{name}") for name, ok in fields.items())
     )
     best = [F.min(F.when(F.col(f"ok_{n}"), F.struct("age", "id"))).alias(f"best_{n}") for n in fields]
     groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("keep_id"), *best).where("n > 1")
     return groups.select("keep_id", *(F.coalesce(F.col(f"best_{n}.id"), F.lit("")).alias(f"{n}_id") for n in fields))
+
+
+_TOKEN = re.compile(r"[ァ-ヶー]+|[一-鿿々]|[ぁ-ゖ]+|[A-Za-z]+|\d+|\s+|.", re.S)
+
+
+def tokens_of(value: str) -> list[str]:
+    """Runs of one script, single kanji, single other characters: what votes are cast for."""
+    return _TOKEN.findall(value)
+
+
+class Profile:
+    """A progressive alignment: columns of weighted tokens, None for a gap."""
+
+    def __init__(self):
+        self.columns: list[dict[str | None, float]] = []
+        self.weight = 0.0
+
+    def add(self, tokens: list[str], weight: float) -> None:
+        """Aligns a value to the columns by the votes its tokens agree with, and adds its own."""
+        n, m, cols = len(self.columns), len(tokens), self.columns
+        best = [[0.0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            row, below, votes = best[i], best[i + 1], cols[i]
+            for j in range(m - 1, -1, -1):
+                row[j] = max(below[j], row[j + 1], below[j + 1] + votes.get(tokens[j], 0.0))
+        out, i, j = [], 0, 0
+        while i < n or j < m:
+            if i < n and j < m and (v := cols[i].get(tokens[j], 0.0)) and best[i][j] == best[i + 1][j + 1] + v:
+                cols[i][tokens[j]] += weight
+                out.append(cols[i])
+                i, j = i + 1, j + 1
+            elif i < n and (j == m or best[i][j] == best[i + 1][j]):
+                cols[i][None] = cols[i].get(None, 0.0) + weight
+                out.append(cols[i])
+                i += 1
+            else:
+                out.append({tokens[j]: weight, None: self.weight} if self.weight else {tokens[j]: weight})
+                j += 1
+        self.columns = out
+        self.weight += weight
+
+    def consensus(self) -> str:
+        """The token with most weight of each column; a gap wins a tie, then the smaller token."""
+        return "".join(max(c, key=lambda t: (c[t], t is None, t or "")) or "" for c in self.columns)
+
+
+def _votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One consensus per group and part; rows come sorted, and only the profile is held."""
+    now, profile = None, None
+    for f in frames:
+        out = []
+        for g, part, v, w in f.itertuples(index=False):
+            if (g, part) != now:
+                if profile:
+                    out.append((*now, profile.consensus(), profile.weight))
+                now, profile = (g, part), Profile()
+            profile.add(tokens_of(v), w)
+        yield pd.DataFrame(out, columns=["g", "part", "v", "w"])
+    if profile:
+        yield pd.DataFrame([(*now, profile.consensus(), profile.weight)], columns=["g", "part", "v", "w"])
+
+
+def consensus(df: DataFrame, group: str, key: str, value: str, weight: Column | None = None, part_values: int = 1000) -> DataFrame:
+    """(keep_id, value_id, value): per non-empty group of two rows or more the existing value closest to the group's token consensus.
+
+    Equal values are one with their weights added (1 a row by default) before anything is aligned. A group of more than
+    `part_values` distinct values is aligned in parts, whose consensuses are then aligned, so no task reads a whole hot
+    group; the group's values are compared with the consensus in parallel. Ties go to the heavier value, then to the
+    smaller id. Null and empty values have no vote; a group that has no other has no row; null ids are left out.
+    """
+    w = F.lit(1.0) if weight is None else F.greatest(weight.cast("double"), F.lit(0.0))
+    rows = df.where(F.col(group).isNotNull() & (F.col(group) != "") & F.col(key).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(key).cast("string").alias("id"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v"), w.alias("w"))
+    groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("keep_id")).where("n > 1")
+    values = rows.where("v <> ''").groupBy("g", "v").agg(F.sum("w").alias("w"), F.min("id").alias("id")).join(groups.select("g"), "g", "left_semi")
+    sizes = values.groupBy("g").agg(F.ceil(F.count("*") / part_values).cast("int").alias("parts"))
+    spread = values.join(sizes, "g").select("g", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", "w")
+    schema = "g string, part int, v string, w double"
+    ordered = lambda d: d.repartition("g", "part").sortWithinPartitions("g", "part", F.desc("w"), "v")
+    partial = ordered(spread).mapInPandas(_votes, schema)
+    whole = ordered(partial.select("g", F.lit(0).alias("part"), "v", "w")).mapInPandas(_votes, schema).select("g", F.col("v").alias("c"))
+    judged = values.join(whole, "g").withColumn("far", F.levenshtein("v", "c"))
+    best = judged.groupBy("g").agg(F.min(F.struct("far", (-F.col("w")).alias("light"), "id", "v")).alias("b"))
+    return best.join(groups, "g").select("keep_id", F.col("b.id").alias("value_id"), F.col("b.v").alias("value"))
