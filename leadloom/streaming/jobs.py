@@ -37,8 +37,11 @@ def append_new(table: str, key: str, order: str):
     return run
 
 
-def limited(events: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
-    """(key, at, accepted): the sliding-log limiter with its log as state, dropped when a key stays idle. [ST-04]"""
+def limited(events: DataFrame, key: str, at: str, most: int, seconds: int, late: str = "1 minute") -> DataFrame:
+    """(key, at, accepted): the sliding-log limiter with its log as state, at most `most` times a key. [ST-04]
+
+    A key's state goes once the watermark has passed its last time by the window.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -54,8 +57,8 @@ def limited(events: DataFrame, key: str, at: str, most: int, seconds: int) -> Da
             if out[-1]:
                 log.append(now)
         state.update((log,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(max(log, default=0) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), at: list(rows[at]), "accepted": out})
 
     types = dict(events.dtypes)
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {types[key]}, {at} timestamp, accepted boolean", "log array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(step, f"{key} {types[key]}, {at} timestamp, accepted boolean", "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
