@@ -1,0 +1,31 @@
+"""The subpackage's queries at the smallest scale: columns, SQL where there is some."""
+
+import os
+
+import duckdb
+import pytest
+
+from leadloom.llm import registry
+from verify_local import canonical
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "p2_found": ["keep_id", "phone_id", "email_id", "form_type_id"], "p3_found": ["id_a", "id_b", "field"], "p4_found": ["id", "row_no"], "p5_found": ["id_a", "id_b"], "p6_found": ["id", "row_no"],
+    "p7_found": ["id_a", "id_b"], "p8_ids": ["doc_id", "ids"], "p9_found": ["doc_id", "item_id"], "p10_found": ["doc_id_a", "doc_id_b"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_query(spark, name):
+    out = registry.queries()[name](spark, SF)
+    got = out.toPandas()
+    assert len(got)
+    if name in COLUMNS:
+        assert out.columns == COLUMNS[name]
+        if name != "p8_ids":
+            assert not got.duplicated().any()
+    if name in registry.oracle_sql():
+        con = duckdb.connect()
+        for f in os.listdir(SF):
+            con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+        assert canonical(got) == canonical(con.execute(registry.oracle_sql()[name]).df())
