@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom.functions import lists
-from leadloom.functions.text import or_else
+from leadloom.functions.text import first_given, let, or_else
 
 _MAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 _PLAIN = r"[a-zA-Z0-9._%+\-]{3,}@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,6}"
@@ -24,20 +24,23 @@ def _all(c: Column, pattern: str, group: int) -> Column:
 
 def _for_contact(found: Column) -> Column:
     """The first address meant for contact, else the first."""
-    return or_else(_first(F.filter(found, lambda e: F.substring_index(e, "@", 1).rlike(lists.CONTACT_LOCAL))), _first(found))
+    return let(found, lambda all_: first_given(_first(F.filter(all_, lambda e: F.substring_index(e, "@", 1).rlike(lists.CONTACT_LOCAL))), _first(all_)))
 
 
 def email(html: Column) -> Column:
     """The e-mail address of a page: linked ones first, those meant for contact before others, then plain text, then
     addresses written with [at] and the like if there is no other. [CX-01]"""
     h = F.coalesce(html, F.lit(""))
-    text = F.regexp_replace(h, r"<[^>]+>", " ")
+
+    def in_text(text: Column) -> Column:
+        plain = _for_contact(F.filter(_all(text, _PLAIN, 0), lambda e: ~e.rlike(r"\.(js|css|png|jpg)$")))
+        parts = F.array(F.regexp_extract(text, _HIDDEN, 1), F.regexp_extract(text, _HIDDEN, 2))
+        hidden = let(parts, lambda p: F.when(p[0] != "", F.regexp_replace(F.concat_ws("@", p), r"\s+", "")).otherwise(""))
+        hidden = F.when(F.contains(text, F.lit("@")) | text.rlike(r"(?i)at|＠"), let(hidden, lambda x: F.when(x.rlike(r"\.(js|css|png)$"), "").otherwise(x))).otherwise("")
+        return first_given(plain, hidden)
+
     linked = _for_contact(_all(h, rf"(?i)mailto:({_MAIL})", 1))
-    plain = _for_contact(F.filter(_all(text, _PLAIN, 0), lambda e: ~e.rlike(r"\.(js|css|png|jpg)$")))
-    parts = F.array(F.regexp_extract(text, _HIDDEN, 1), F.regexp_extract(text, _HIDDEN, 2))
-    hidden = F.when(parts[0] != "", F.regexp_replace(F.concat_ws("@", parts), r"\s+", "")).otherwise("")
-    hidden = F.when(hidden.rlike(r"\.(js|css|png)$"), "").otherwise(hidden)
-    return or_else(or_else(linked, plain), hidden)
+    return first_given(linked, let(F.regexp_replace(h, r"<[^>]+>", " "), in_text))
 
 
 def first_email(html: Column) -> Column:
@@ -58,7 +61,11 @@ def _digits(c: Column) -> Column:
 
 def fax_numbers(html: Column) -> Column:
     """The digits of all numbers that a fax label precedes. [CX-04]"""
-    return F.transform(_all(half_width(html), rf"(?iu)(?:fax|ファックス|ファクシミリ|F\.?)[\s\x{{3000}}:：\-.]*({_DASHED}|0[0-9]{{9,10}})", 1), _digits)
+    return _fax(half_width(html))
+
+
+def _fax(h: Column) -> Column:
+    return F.transform(_all(h, rf"(?iu)(?:fax|ファックス|ファクシミリ|F\.?)[\s\x{{3000}}:：\-.]*({_DASHED}|0[0-9]{{9,10}})", 1), _digits)
 
 
 def _tidy_phone(c: Column) -> Column:
@@ -70,15 +77,15 @@ def phone(html: Column) -> Column:
 
     It has 10 or 11 digits with a leading 0 and is no fax number, or starts with +81. [CX-03]
     """
-    h = half_width(html)
     label = r"(?iu)(?:tel|電話|お電話)[\s\x{3000}:：\-.]*"
     tries = [r"(?i)tel:([\d\-+\s()]{7,20})", rf"{label}({_DASHED})", rf"{label}(0[0-9]{{9,10}})", rf"({_DASHED})", r"(0[0-9]{9,10})", r"(\+81[-\s\d]{8,16})"]
-    found = F.regexp_extract(h, tries[-1], 1)
-    for pattern in reversed(tries[:-1]):
-        found = or_else(F.regexp_extract(h, pattern, 1), found)
-    tidy = _tidy_phone(found)
-    good = (_digits(tidy).rlike("^0[0-9]{9,10}$") & ~F.array_contains(fax_numbers(html), _digits(tidy))) | F.startswith(tidy, F.lit("+81"))
-    return F.when(good, tidy).otherwise("")
+
+    def of(h: Column) -> Column:
+        found = _tidy_phone(first_given(*(F.regexp_extract(h, p, 1) for p in tries)))
+        good = lambda t: (_digits(t).rlike("^0[0-9]{9,10}$") & ~F.array_contains(_fax(h), _digits(t))) | F.startswith(t, F.lit("+81"))
+        return let(found, lambda t: F.when((t != "") & good(t), t).otherwise(""))
+
+    return let(half_width(html), of)
 
 
 def first_phone(html: Column) -> Column:
@@ -93,14 +100,17 @@ def first_phone(html: Column) -> Column:
 
 def postal_address(html: Column) -> Column:
     """The address in running text: after a postal code, else after a label, else from a prefecture on; 100 characters at most. [CX-06]"""
-    h = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>", " "), r"\n+", " ")
-    coded = r"〒\s*(\d{3}[－\-]\d{4}|\d{7})\s*([^<]{5,80}(?:都|道|府|県)[^<]{0,60})"
-    code, rest = F.regexp_extract(h, coded, 1), F.regexp_extract(h, coded, 2)
-    labelled = F.regexp_extract(h, r"(?iu)(?:所在地|住所|本社所在地|事務所|拠点|所在地・アクセス|address)[\s\x{3000}]*[：:]\s*([^<]{8,100}(?:都|道|府|県)[^<]{0,60})", 1)
-    bare = F.regexp_extract(h, r"(?:^|>|\s)((?:北海道|東京都|大阪府|京都府|[一-龥]{2,3}県)[^<]{5,60}(?:市|区|町|村|丁目|番地|番|号)[^<]{0,40})", 1)
     tidy = lambda c: F.trim(F.regexp_replace(c, r"[\s\x{3000}]+", " "))
-    with_code = F.when(code != "", F.concat(F.lit("〒"), F.replace(code, F.lit("－"), F.lit("-")), F.lit(" "), tidy(rest))).otherwise("")
-    return F.substring(or_else(with_code, or_else(tidy(labelled), tidy(bare))), 1, 100)
+    coded = r"〒\s*(\d{3}[－\-]\d{4}|\d{7})\s*([^<]{5,80}(?:都|道|府|県)[^<]{0,60})"
+    label = r"(?iu)(?:所在地|住所|本社所在地|事務所|拠点|所在地・アクセス|address)[\s\x{3000}]*[：:]\s*([^<]{8,100}(?:都|道|府|県)[^<]{0,60})"
+    start = r"(?:^|>|\s)((?:北海道|東京都|大阪府|京都府|[一-龥]{2,3}県)[^<]{5,60}(?:市|区|町|村|丁目|番地|番|号)[^<]{0,40})"
+
+    def of(h: Column) -> Column:
+        code = F.regexp_extract(h, coded, 1)
+        with_code = F.when(F.contains(h, F.lit("〒")), let(code, lambda c: F.when(c != "", F.concat(F.lit("〒"), F.replace(c, F.lit("－"), F.lit("-")), F.lit(" "), tidy(F.regexp_extract(h, coded, 2)))).otherwise("")))
+        return F.substring(first_given(F.coalesce(with_code, F.lit("")), tidy(F.regexp_extract(h, label, 1)), tidy(F.regexp_extract(h, start, 1))), 1, 100)
+
+    return let(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>", " "), r"\n+", " "), of)
 
 
 def merged(of_form: Column, of_home: Column, only_gaps: bool = False) -> Column:

@@ -28,3 +28,13 @@ def or_else(c: Column, default: Column | str) -> Column:
     """`c`, or `default` where `c` is null or ''."""
     default = F.lit(default) if isinstance(default, str) else default
     return F.coalesce(F.nullif(c, F.lit("")), default)
+
+
+def let(c: Column, use) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.transform(F.array(c), use)[0]
+
+
+def first_given(*columns: Column) -> Column:
+    """The first text that isn't '', each computed once; '' if there is none."""
+    return F.coalesce(F.try_element_at(F.filter(F.array(*columns), lambda x: x != ""), F.lit(1)), F.lit(""))

@@ -6,10 +6,13 @@ function says what it gives instead. Null gives ''.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom.functions import lists
+from leadloom.functions.text import let
 
 _HEAD = r"(?s)^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?"
 
@@ -141,23 +144,25 @@ def display(c: Column) -> Column:
     return F.when(host(u) != "", F.concat(host_key(u), short)).otherwise(F.substring(F.regexp_replace(u, r"^https?://", ""), 1, 35))
 
 
+def _either(texts: list[str]) -> str:
+    return "|".join(re.sub(r"([^\w ])", r"\\\1", t) for t in texts)
+
+
 def on_hosts(c: Column, hosts: list[str]) -> Column:
     """Whether a host is one of `hosts` or a sub-domain of one. [FL-16, FL-19]"""
-    labels = F.split(c, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.arrays_overlap(suffixes, F.array(*map(F.lit, hosts)))
+    return c.rlike(rf"(?:^|\.)(?:{_either(hosts)})$")
 
 
 def holds_host(c: Column, hosts: list[str]) -> Column:
     """Whether a host contains one of `hosts` anywhere. [FL-18, FL-20]"""
-    return F.exists(F.array(*map(F.lit, hosts)), lambda h: F.contains(c, h))
+    return c.rlike(_either(hosts))
 
 
 def holds_any(c: Column, words: list[str]) -> Column:
     """Whether a lower-case text contains one of the words."""
-    return F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(c, w))
+    return c.rlike(_either([w.lower() for w in words]))
 
 
 def count_of(c: Column, words: list[str]) -> Column:
     """How many of the words a lower-case text contains."""
-    return F.size(F.filter(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(c, w)))
+    return let(c, lambda t: sum((F.contains(t, F.lit(w.lower())).cast("int") for w in words), F.lit(0)))

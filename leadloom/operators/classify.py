@@ -26,8 +26,7 @@ def confidence(label: Column) -> Column:
 def by_page(text: Column, html: Column) -> Column:
     """Two booking words in the text or the HTML: booking; any inquiry word in the text: inquiry; else unknown. [CL-18]"""
     t, h = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(html, F.lit("")))
-    words = F.array(*map(F.lit, lists.PAGE_BOOKING))
-    booking = F.size(F.filter(words, lambda w: F.contains(t, w) | F.contains(h, w)))
+    booking = urls.count_of(F.concat_ws("\x1f", t, h), lists.PAGE_BOOKING)
     return F.when(booking >= 2, "booking").when(urls.count_of(t, lists.PAGE_INQUIRY) > 0, "inquiry").otherwise("unknown")
 
 
