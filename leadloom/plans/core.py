@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import contact, html, lists, urls
 from leadloom.functions.text import missing
-from leadloom.operators import catalog, classify, dedup, limits, pages, runs, search
+from leadloom.operators import catalog, classify, dedup, limits, pages, reports, runs, search
 from leadloom.sources import export
 from leadloom.sources.tables import table
 
@@ -444,6 +444,120 @@ def event_props(spark, d):
     return _events(spark, d).select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
+# reports
+
+
+def newest_projects(spark, d):
+    return reports.newest(table(spark, d, "projects"), most=20).select("id", "created_at")
+
+
+def oldest_unsent(spark, d):
+    return reports.oldest(_companies(spark, d), F.col("status") == "未送信", "collected_at", 25).select("id", "collected_at")
+
+
+def run_lookup(spark, d):
+    return reports.lookup(_runs(spark, d), "project_id", "proj-20260105-001", "created_at").select("id", "project_id")
+
+
+def runs_of_project(spark, d):
+    return reports.of_parent(_runs(spark, d), "project_id", "proj-20260113-002").select("id", "created_at")
+
+
+def queue_idle(spark, d):
+    return reports.idle(_runs(spark, d), ["running", "pending"])
+
+
+def sheet_hosts(spark, d):
+    return reports.host_set(table(spark, d, "sheet_row"), "HP URL")
+
+
+def full_pages(spark, d):
+    """Runs of a project as pages of a search: read until one is short."""
+    rows = _runs(spark, d).select("project_id", "id", F.coalesce("raw_search_count", F.lit(0)).alias("size"))
+    return reports.until_short_page(rows, "project_id", "id", "size", 600)
+
+
+def enough_runs(spark, d):
+    rows = _runs(spark, d).select("project_id", "id", F.coalesce("items_written", F.lit(0)).alias("items"))
+    return reports.until_enough(rows, "project_id", "id", "items", 2000)
+
+
+def known_areas(spark, d):
+    typed = table(spark, d, "sheet_row").select("row_no", F.col("エリア").alias("area"))
+    return reports.known_areas(typed, "area", catalog.facet(_companies(spark, d), "area")).select("row_no", "valid")
+
+
+def run_payloads(spark, d):
+    p = reports.payloads(_companies(spark, d), "run_id", "id", ["name"])
+    return p.select("run_id", "n", F.col("items")[0]["id"].alias("first_id"))
+
+
+def sending_gates(spark, d):
+    c = F.coalesce("form_url", F.lit(""))
+    return reports.split_by(_companies(spark, d), {"no form": c == "", "reservation": F.col("form_type") == "reservation", "sent": F.col("status") == "送信済み"}).groupBy("gate").agg(F.count("*").alias("n"))
+
+
+def history_search(spark, d):
+    return reports.filtered_history(runs.history(_runs(spark, d), table(spark, d, "projects")), "success", "東京都").select("id", "label")
+
+
+def recovered_jobs(spark, d):
+    r = _runs(spark, d)
+    jobs = r.select(F.concat(F.lit("job-"), "id").alias("id"), F.col("id").alias("run_id"), F.when(F.col("run_type") == "single", "active").otherwise("waiting").alias("status"))
+    return reports.recovered(jobs, r, "run_id")
+
+
+def run_metrics(spark, d):
+    c = _companies(spark, d)
+    return reports.batch_metrics(c, missing(F.col("hp_url")), ~missing(F.col("form_url")), F.when(F.col("form_type") == "reservation", "booking").otherwise(F.col("form_type")))
+
+
+def outcome_counts(spark, d):
+    state = F.when(missing(F.col("form_url")), "no_form").when(F.col("form_type") == "reservation", "skipped_booking").otherwise("written")
+    return reports.outcomes(_companies(spark, d), state)
+
+
+def target_count(spark, d):
+    t = F.col("search_target")
+    return reports.targets(_runs(spark, d).select(t["keywords"].alias("w"), t["areas"].alias("a")), "w", "a")
+
+
+def run_speed(spark, d):
+    r = _runs(spark, d)
+    return reports.per_minute(r, "items_written", F.col("created_at").try_cast("timestamp"), F.col("completed_at").try_cast("timestamp")).select("id", F.coalesce("per_minute", F.lit(-1)).cast("bigint").alias("per_minute"))
+
+
+def top_form_hosts(spark, d):
+    return reports.by_host(_companies(spark, d), "form_url", 15)
+
+
+def type_shares(spark, d):
+    return reports.shares(_companies(spark, d), "industry", "form_type", ["inquiry", "LINE", "reservation", "unknown", ""])
+
+
+def area_coverage(spark, d):
+    estimates = _companies(spark, d).groupBy("area").agg((F.count("*") * 2 + 1).alias("estimate"))
+    return reports.coverage(_companies(spark, d).where("form_url <> ''"), "area", estimates)
+
+
+def label_suggestions(spark, d):
+    return reports.suggestions(_runs(spark, d), "label", "歯科")
+
+
+def project_run_ids(spark, d):
+    return reports.all_ids(table(spark, d, "projects"), "run_ids")
+
+
+def edited_ids(spark, d):
+    p = table(spark, d, "projects")
+    ids = reports.removed_id(reports.appended_id(F.col("run_ids"), F.lit("run-new")), F.element_at("run_ids", 1))
+    return p.select("id", F.array_join(ids, ",").alias("ids"))
+
+
+def capped_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(reports.capped(F.col("text"), 80), F.lit("")).alias("head"))
+
+
 QUERIES = [
     url_keys, url_flags, stored_keys_agree, host_counts, host_top, grid_page, grid_search, grid_counts, grid_in_runs, facet_industry, facet_area, status_counts, type_counts,
     type_by_industry, project_stats, form_keys, home_keys, localised_rows, imported_rows, bulk_update, run_deleted, pruned, collected_at, csv_lines, tab_counts, run_history,
@@ -452,4 +566,6 @@ QUERIES = [
     unknown_forms, known_homes, merged_sources, places_once, batch_report, last_sheet_rows, keys_once, upsert_plan, upsert_counts, upserted_types, document_contacts, page_texts,
     page_contacts, page_links, best_links, page_forms, page_checks, type_hints, probe_plans, word_classes, page_classes, reclassified, stored_types, model_identity,
     event_windows, event_sessions, events_in_window, events_limited, longest_runs, latest_values, event_props,
+    newest_projects, oldest_unsent, run_lookup, runs_of_project, queue_idle, sheet_hosts, full_pages, enough_runs, known_areas, run_payloads, sending_gates, history_search,
+    recovered_jobs, run_metrics, outcome_counts, target_count, run_speed, top_form_hosts, type_shares, area_coverage, label_suggestions, project_run_ids, edited_ids, capped_texts,
 ]

@@ -345,4 +345,31 @@ SQL = {
         sum(CASE WHEN event_type <> 'click' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events) GROUP BY 1, 2) GROUP BY 1""",
     "latest_values": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(CASE WHEN value > 50 THEN event_id END) AS big FROM events GROUP BY 1",
     "event_props": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events",
+    "newest_projects": "SELECT id, created_at FROM projects ORDER BY created_at DESC NULLS LAST, id LIMIT 20",
+    "oldest_unsent": "SELECT id, collected_at FROM companies WHERE status = '未送信' ORDER BY collected_at ASC NULLS LAST, id LIMIT 25",
+    "run_lookup": "SELECT id, project_id FROM project_runs WHERE project_id = 'proj-20260105-001' ORDER BY created_at DESC NULLS LAST, id LIMIT 1",
+    "runs_of_project": "SELECT id, created_at FROM project_runs WHERE project_id = 'proj-20260113-002'",
+    "queue_idle": "SELECT count(*) FILTER (status IN ('running', 'pending')) = 0 AS idle FROM project_runs",
+    "sheet_hosts": f"SELECT DISTINCT host FROM (SELECT {_host_key('"HP URL"')} AS host FROM sheet_row) WHERE host <> ''",
+    "full_pages": "SELECT project_id, id, coalesce(raw_search_count, 0) AS size FROM project_runs QUALIFY coalesce(max(CASE WHEN coalesce(raw_search_count, 0) < 600 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0",
+    "enough_runs": "SELECT project_id, id, coalesce(items_written, 0) AS items FROM project_runs QUALIFY coalesce(sum(coalesce(items_written, 0)) OVER (PARTITION BY project_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 2000",
+    "known_areas": """SELECT row_no, coalesce("エリア", '') = '' OR "エリア" IN (SELECT area FROM companies WHERE area IS NOT NULL) AS valid FROM sheet_row""",
+    "run_payloads": "SELECT run_id, count(*) AS n, min(id) AS first_id FROM companies GROUP BY run_id",
+    "sending_gates": "SELECT CASE WHEN coalesce(form_url, '') = '' THEN 'no form' WHEN form_type = 'reservation' THEN 'reservation' WHEN status = '送信済み' THEN 'sent' ELSE 'else' END AS gate, count(*) AS n FROM companies GROUP BY 1",
+    "history_search": "SELECT r.id, label FROM project_runs r LEFT JOIN projects p ON p.id = r.project_id WHERE parent_run_id IS NULL AND status = 'success' AND (contains(lower(label), '東京都') OR contains(lower(coalesce(p.name, r.project_id)), '東京都'))",
+    "recovered_jobs": f"SELECT 'job-' || id AS id, CASE WHEN run_type = 'single' THEN CASE WHEN status IN {_GOOD} THEN 'completed' WHEN status = 'error' THEN 'failed' ELSE 'active' END ELSE 'waiting' END AS status FROM project_runs",
+    "run_metrics": """SELECT count(*) AS total, count(*) FILTER (coalesce(hp_url, '') <> '') AS success, count(*) FILTER (coalesce(hp_url, '') = '') AS errors, count(*) FILTER (coalesce(form_url, '') <> '') AS found,
+        round(100.0 * count(*) FILTER (coalesce(form_url, '') <> '') / count(*))::bigint AS rate, count(*) FILTER (form_type = 'inquiry') AS inquiry, count(*) FILTER (form_type = 'reservation') AS booking, count(*) FILTER (form_type = 'LINE') AS line, 0::bigint AS avg_ms FROM companies""",
+    "outcome_counts": "SELECT CASE WHEN coalesce(form_url, '') = '' THEN 'no_form' WHEN form_type = 'reservation' THEN 'skipped_booking' ELSE 'written' END AS outcome, count(*) AS n FROM companies GROUP BY 1",
+    "target_count": "SELECT sum(coalesce(len(search_target.keywords), 0) * greatest(coalesce(len(search_target.areas), 0), 1))::bigint AS targets FROM project_runs",
+    "run_speed": "SELECT id, coalesce(CASE WHEN m > 0 THEN floor(items_written * 60000 / m)::bigint END, -1) AS per_minute FROM (SELECT *, epoch_ms(try_cast(completed_at AS timestamptz)) - epoch_ms(try_cast(created_at AS timestamptz)) AS m FROM project_runs)",
+    "top_form_hosts": f"""WITH h AS (SELECT {_host_key('form_url')} AS host, count(*) AS n FROM companies GROUP BY 1 HAVING host <> '')
+        SELECT host, n, round(100.0 * n / (SELECT sum(n) FROM h))::bigint AS percent FROM h ORDER BY n DESC, host LIMIT 15""",
+    "type_shares": "SELECT industry, " + ", ".join(f"count(*) FILTER (coalesce(form_type, '') = {_q(v)}) AS n_{v.lower() or 'none'}" for v in ("inquiry", "LINE", "reservation", "unknown", "")) + ", count(*) AS n FROM companies GROUP BY industry",
+    "area_coverage": """SELECT e.area, coalesce(s.n, 0) AS stored, e.estimate, round(100.0::double * coalesce(s.n, 0) / e.estimate, 1) AS percent FROM (SELECT area, count(*) * 2 + 1 AS estimate FROM companies GROUP BY area) e
+        LEFT JOIN (SELECT area, count(*) AS n FROM companies WHERE form_url <> '' GROUP BY area) s ON s.area = e.area""",
+    "label_suggestions": "SELECT DISTINCT label AS value FROM project_runs WHERE contains(lower(label), '歯科') ORDER BY value LIMIT 8",
+    "project_run_ids": "SELECT unnest(run_ids) AS id FROM projects",
+    "edited_ids": "SELECT id, array_to_string(list_concat(run_ids[2:], ['run-new']), ',') AS ids FROM projects",
+    "capped_texts": "SELECT doc_id, coalesce(text[1:80], '') AS head FROM documents",
 }
