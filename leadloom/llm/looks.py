@@ -69,8 +69,8 @@ def one_form(text: str) -> str:
     Spaces at either end go; spaces within stay as many as they are. Letter case stays, as it can be seen.
     """
     text = text.translate(_SHAPES)
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).translate(_table())
+    if not text.isascii():  # marks join the letter that looks like theirs
+        text = unicodedata.normalize("NFC", text.translate(_table())).translate(_table())
     return text.strip(" ")
 
 

@@ -127,7 +127,7 @@ def test_hot_passage_is_split(spark):
 
 # looks
 
-SAME = [("ｶﾞﾗｽ", "ガラス"), ("Café", "Café"), ("a​b", "ab"), ("a　b", "a b"), (" a\xa0", "a"), ("⾧本", "長本"), ("Ｎｏ１", "No1"), ("Аuto", "Auto"), ("ル一ム", "ルーム"), ("テ才", "テオ"), ("1－2", "1‐2")]
+SAME = [("ｶﾞﾗｽ", "ガラス"), ("Café", "Café"), ("a​b", "ab"), ("a　b", "a b"), (" a\xa0", "a"), ("⾧本", "長本"), ("Ｎｏ１", "No1"), ("Аuto", "Auto"), ("ル一ム", "ルーム"), ("テ才", "テオ"), ("1－2", "1‐2"), ("Cafе\u0301", "Café"), ("八ﾞ", "バ")]
 OTHER = [("a b", "ab"), ("A", "a"), ("a  b", "a b"), ("㈱", "(株)"), ("a", "b")]
 
 
