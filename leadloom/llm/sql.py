@@ -1,5 +1,9 @@
 """DuckDB SQL of the queries SQL can express."""
 
+import unicodedata
+
+from leadloom.llm.looks import ALIKE, PLACEHOLDERS, one_form
+
 _L = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
 
 
@@ -33,7 +37,54 @@ SELECT min(id) AS keep_id, max(CASE WHEN rp = 1 AND ok_p THEN id ELSE '' END) AS
 FROM o GROUP BY g HAVING count(*) > 1
 """
 
+_P10 = """
+WITH g AS (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS i FROM documents WHERE length(text) >= 120),
+w AS (SELECT DISTINCT doc_id, substring(text, i, 120) AS s FROM g)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id
+"""
+
+def _one_width(c: str) -> str:
+    """Full-width ASCII and half-width kana as usual, by their compatibility forms."""
+    kana = [chr(k) for k in range(0xFF66, 0xFF9E)]
+    voiced = [(k + m, f) for k in kana for m in "\uff9e\uff9f" if len(f := unicodedata.normalize("NFKC", k + m)) == 1]
+    for pair, one in voiced:
+        c = f"replace({c}, '{pair}', '{one}')"
+    single = [*kana, *(chr(k) for k in range(0xFF01, 0xFF5F))]
+    to = "".join(unicodedata.normalize("NFKC", k) for k in single).replace("'", "''")
+    return f"nfc_normalize(translate({c}, '{''.join(single)}', '{to}'))"
+
+
+_BARE = rf"regexp_replace(lower({_one_width('text')}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_P9 = f"""
+WITH i AS (SELECT item_id, {_BARE} AS t FROM benchmark), d AS (SELECT doc_id, {_BARE} AS t FROM documents),
+iw AS (SELECT DISTINCT item_id, substring(t, k, 40) AS s FROM (SELECT *, unnest(range(1, length(t) - 38)) AS k FROM i WHERE length(t) >= 40)),
+dw AS (SELECT doc_id, substring(t, k, 40) AS s FROM (SELECT *, unnest(range(1, length(t) - 38)) AS k FROM d WHERE length(t) >= 40))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw ON dw.s = iw.s
+"""
+
+def _look(c: str) -> str:
+    radicals = [chr(k) for k in range(0x2F00, 0x2FD6)]
+    alike = {x: g[0] for g in ALIKE for x in g[1:] if x != g[0]}
+    c = rf"regexp_replace(regexp_replace({c}, '\p{{Cf}}', '', 'g'), '[\p{{Z}}\s\x{{0B}}\x{{85}}]', ' ', 'g')"
+    c = f"translate({_one_width(c)}, '{''.join(radicals)}', '{''.join(unicodedata.normalize('NFKC', k) for k in radicals)}')"
+    return f"trim(nfc_normalize(translate({c}, '{''.join(alike)}', '{''.join(alike.values())}')), ' ')"
+
+
+_PLACEHOLDERS = ", ".join("'" + one_form(p).casefold() + "'" for p in PLACEHOLDERS)
+_DIGITS = r"regexp_replace(regexp_replace(regexp_replace(look, '[^0-9+]', '', 'g'), '^\+81', '0'), '\+', '', 'g')"
+_P3 = rf"""
+WITH v AS (SELECT id, 'name' AS field, name AS value FROM companies UNION ALL SELECT id, 'phone', phone FROM companies UNION ALL SELECT id, 'address', address FROM companies),
+l AS (SELECT id, field, value, {_look('value')} AS look FROM v WHERE value IS NOT NULL),
+c AS (SELECT * FROM l WHERE lower(look) NOT IN ({_PLACEHOLDERS})
+  AND (field <> 'phone' OR (regexp_matches({_DIGITS}, '^[0-9]{{10,11}}$') AND regexp_matches({_DIGITS}, '[1-9]')))
+  AND (field <> 'address' OR regexp_matches(regexp_replace(look, '^[〒T]?\s*[0-9]{{3}}[-ー ]?[0-9]{{4}}\s*', ''), '^[^0-9\s]+[0-9]')))
+SELECT DISTINCT a.id AS id_a, b.id AS id_b, a.field FROM c a JOIN c b ON a.field = b.field AND a.look = b.look AND a.value <> b.value AND a.id < b.id
+"""
+
 SQL = {
+    "p3_found": _P3,
+    "p9_found": _P9,
+    "p10_found": _P10,
     "p2_found": _P2,
     "p7_found": _COPIES + " SELECT a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.k = b.k AND a.id < b.id",
     "p7_copies": _COPIES + " SELECT min(id) AS keep_id, count(*) AS copies FROM c GROUP BY k",
