@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -89,12 +90,14 @@ def anchors(docs: DataFrame, key: str, text: str, span: int, gram: int) -> DataF
     return rows.mapInArrow(run, f"h bigint, doc {docs.schema[key].dataType.simpleString()}")
 
 
-def occurrences(docs: DataFrame, recurring: DataFrame, key: str, text: str, span: int, gram: int, shard_docs: int = 2000) -> DataFrame:
-    """(h, doc, before, after): every occurrence of every recurring anchor, with the characters that a span may add to it.
+def occurrences(docs: DataFrame, recurring: DataFrame, key: str, text: str, span: int, gram: int, shard_docs: int = 2000, pair_docs: int = 64) -> DataFrame:
+    """(h, w, doc, before, after): every occurrence of every recurring anchor, with the characters that a span may add to it.
 
-    recurring: (h, doc, home), an anchor, a document that has it and the smallest one that has it. Anchors of one home
-    make one shard, so a document goes to few shards. Documents of a shard with more than `shard_docs` are split among
-    several tasks, each with the shard's automaton; the automaton holds one document's anchors at most.
+    recurring: (h, doc, home, n), an anchor, a document that has it, the smallest one that has it and how many have it.
+    Anchors of one home make one shard, so a document goes to few shards. Documents of a shard with more than `shard_docs`
+    are split among several tasks, each with the shard's automaton; the automaton holds one document's anchors at most.
+    An anchor that more than `pair_docs` documents have isn't to be compared in pairs: it gives the spans around it
+    instead, each by a 128-bit hash (h and w) and without characters, so only documents that share a whole span meet.
     """
     reach = span - gram
     kind = docs.schema[key].dataType.simpleString()
@@ -102,30 +105,37 @@ def occurrences(docs: DataFrame, recurring: DataFrame, key: str, text: str, span
     sizes = routes.groupBy("home").agg(F.ceil(F.count("*") / shard_docs).cast("int").alias("parts"))
     routed = routes.join(sizes, "home").select("home", "doc", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).otherwise(0).alias("part"), "parts")
     body = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.length("text") >= span)
-    streamed = routed.join(body, "doc").select("home", "part", F.lit(1).alias("kind"), "doc", "text", F.lit(None).cast("array<bigint>").alias("hs"))
-    own = recurring.where("doc = home").groupBy("home").agg(F.collect_set("h").alias("hs")).join(sizes, "home")
-    own = own.join(body, F.col("home") == body["doc"]).select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), body["doc"].alias("doc"), "text", "hs")
+    none = F.lit(None).cast("array<bigint>")
+    streamed = routed.join(body, "doc").select("home", "part", F.lit(1).alias("kind"), "doc", "text", none.alias("hs"), none.alias("hot"))
+    own = recurring.where("doc = home").groupBy("home").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("n") > pair_docs, F.col("h"))).alias("hot")).join(sizes, "home")
+    own = own.join(body, F.col("home") == body["doc"]).select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), body["doc"].alias("doc"), "text", "hs", "hot")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pick, automaton, shard = Anchors(span, gram), None, None
+        pick, automaton, shard, hot = Anchors(span, gram), None, None, set()
         for frame in frames:
             rows: list[tuple] = []
-            for home, part, what, doc, body, hs in frame.itertuples(index=False):
+            for home, part, what, doc, body, hs, hot_ in frame.itertuples(index=False):
                 if what == 0:
-                    shard, automaton = (home, part), ahocorasick.Automaton()
+                    shard, automaton, hot = (home, part), ahocorasick.Automaton(), set(map(int, hot_))
                     for passage, h in pick.texts(body, set(map(int, hs))):
                         automaton.add_word(passage, h)
                     automaton.make_automaton()
                     continue
                 assert shard == (home, part)
+                whole: set[bytes] = set()
                 for end, h in automaton.iter(body):
                     end += 1
                     start = end - gram
-                    rows.append((h, doc, body[max(0, start - reach) : start][::-1], body[end : end + reach]))
-            yield pd.DataFrame(rows, columns=["h", "doc", "before", "after"])
+                    around = body[max(0, start - reach) : end + reach]
+                    if h in hot:
+                        whole.update(hashlib.blake2b(around[i : i + span].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in range(len(around) - span + 1))
+                    else:
+                        rows.append((h, "", doc, body[max(0, start - reach) : start][::-1], body[end : end + reach]))
+                rows += [(int.from_bytes(x[:8], "little", signed=True), x[8:].hex(), doc, None, None) for x in sorted(whole)]
+            yield pd.DataFrame(rows, columns=["h", "w", "doc", "before", "after"])
 
     together = streamed.unionAll(own.select(streamed.columns)).repartition("home", "part").sortWithinPartitions("home", "part", "kind")
-    return together.mapInPandas(run, f"h bigint, doc {kind}, before string, after string")
+    return together.mapInPandas(run, f"h bigint, w string, doc {kind}, before string, after string")
 
 
 def _common(a: str, b: str) -> int:
@@ -140,22 +150,23 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def shared_spans(docs: DataFrame, key: str, text: str = "text", span: int = 120, gram: int = 64) -> DataFrame:
+def shared_spans(docs: DataFrame, key: str, text: str = "text", span: int = 120, gram: int = 64, pair_docs: int = 64) -> DataFrame:
     """(doc_a, doc_b): documents whose texts have `span` code points in a row in common, verbatim; doc_a < doc_b.
 
     1. Each document gives anchors, grams of `gram` characters chosen so that every span has at least one; anchors of two
        documents or more recur. 2. The recurring ones are compiled into Aho-Corasick automata, one per shard, and the
        documents that have any are streamed through their shards to locate all occurrences. 3. Documents that share an
-       anchor are compared around it; the pair stays if the common text is long enough.
+       anchor are compared around it; the pair stays if the common text is long enough. An anchor of more than `pair_docs`
+       documents, such as a common phrase, is replaced by the spans around it, so no pairs are tried in vain.
     Null, empty and short texts share nothing; a document never pairs with itself, also when its row is repeated.
     """
     fingerprints = anchors(docs, key, text, span, gram)
-    homes = fingerprints.groupBy("h").agg(F.min("doc").alias("home"), F.max("doc").alias("top")).where("home <> top").drop("top")
+    homes = fingerprints.groupBy("h").agg(F.min("doc").alias("home"), F.max("doc").alias("top"), F.count("*").alias("n")).where("home <> top").drop("top")
     recurring = cut(fingerprints.join(homes, "h"))
-    found = cut(occurrences(docs, recurring, key, text, span, gram))
-    left = found.select("h", F.col("doc").alias("doc_a"), F.col("before").alias("ba"), F.col("after").alias("aa"))
-    right = found.select("h", F.col("doc").alias("doc_b"), F.col("before").alias("bb"), F.col("after").alias("ab"))
-    met = left.join(right, "h").where("doc_a < doc_b")
+    found = cut(occurrences(docs, recurring, key, text, span, gram, pair_docs=pair_docs))
+    left = found.select("h", "w", F.col("doc").alias("doc_a"), F.col("before").alias("ba"), F.col("after").alias("aa"))
+    right = found.select("h", "w", F.col("doc").alias("doc_b"), F.col("before").alias("bb"), F.col("after").alias("ab"))
+    met = left.join(right, ["h", "w"]).where("doc_a < doc_b")
     kind = docs.schema[key].dataType.simpleString()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +174,7 @@ def shared_spans(docs: DataFrame, key: str, text: str = "text", span: int = 120,
             known, keep = set(), []
             columns = [c.to_pylist() for c in b.columns]
             for i, (x, y, ba, aa, bb, ab) in enumerate(zip(*columns)):
-                if (x, y) not in known and _common(ba, bb) + gram + _common(aa, ab) >= span:
+                if (x, y) not in known and (ba is None or _common(ba, bb) + gram + _common(aa, ab) >= span):
                     known.add((x, y))
                     keep.append(i)
             if keep:
