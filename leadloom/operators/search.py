@@ -27,7 +27,7 @@ def queries(requests: DataFrame, words: str, area: str, suffixes: Sequence[str]
     """
     out = requests.select("*", F.posexplode(keyword_groups(F.col(words), together)).alias("_k", "keyword"))
     out = out.select("*", F.posexplode(F.array(*map(F.lit, suffixes))).alias("_s", "suffix"))
-    out = out.select("*", F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("page"))
+    out = out.select("*", F.explode(F.sequence(F.lit(1), F.lit(pages)).cast("array<bigint>")).alias("page"))
     text = F.concat_ws(" ", "keyword", area, F.nullif("suffix", F.lit("")))
     return out.withColumn("query", text).withColumn("ord", ((F.col("_k") * len(suffixes) + F.col("_s")) * pages + F.col("page") - 1).cast("bigint")).drop("_k", "_s")
 
