@@ -112,6 +112,7 @@ def occurrences(docs: DataFrame, recurring: DataFrame, key: str, text: str, span
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pick, automaton, shard, hot = Anchors(span, gram), None, None, set()
+        names = ["h", "w", "doc", "before", "after"]
         for frame in frames:
             rows: list[tuple] = []
             for home, part, what, doc, body, hs, hot_ in frame.itertuples(index=False):
@@ -132,7 +133,10 @@ def occurrences(docs: DataFrame, recurring: DataFrame, key: str, text: str, span
                     else:
                         rows.append((h, "", doc, body[max(0, start - reach) : start][::-1], body[end : end + reach]))
                 rows += [(int.from_bytes(x[:8], "little", signed=True), x[8:].hex(), doc, None, None) for x in sorted(whole)]
-            yield pd.DataFrame(rows, columns=["h", "w", "doc", "before", "after"])
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     together = streamed.unionAll(own.select(streamed.columns)).repartition("home", "part").sortWithinPartitions("home", "part", "kind")
     return together.mapInPandas(run, f"h bigint, w string, doc {kind}, before string, after string")
