@@ -186,4 +186,6 @@ def test_name_parts():
     n = names.parse("【雪川町】株式会社にしだい ミモヌセ リフォームスタジオ 様")
     assert n == names.Name("nishidai", "mimonuse", "工務店", "株式会社")
     assert names.parse("丸口トセ工建設").core == "tosee" and names.parse("YaeMenosoraHA") == names.Name("yae", "menosora", "美容室", "")
+    assert names.parse("しろはまEMIMONUDC") == names.Name("shirohama", "emimonu", "歯科", "")
+    assert names.parse("Asamoto税理士事務所ルヌトニ") == names.Name("asamoto", "runutoni", "税理士", "")
     assert names.core_likeness("sumuso", "suremuso") == 0.7 and names.core_likeness("suho", "suhorefu") == 0.8 and names.core_likeness("a", "b") == 0
