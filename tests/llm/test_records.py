@@ -154,7 +154,7 @@ def test_same_places(spark):
 
 STORED = [
     ("1", "株式会社秋葉コテフウ美容室", "美容室", "大阪府", "06-0012-9615", "大阪府梅根市緑中央8丁目38番22号"), ("2", "秋葉コテフウ美容室", "美容室", "大阪府", None, None), ("3", "秋葉 Kotefuu ヘアサロン", "美容室", "大阪府", "", ""),
-    ("4", "北丘コテフウ美容室", "美容室", "大阪府", "06-0099-9615", ""), ("5", "秋葉コテラウ歯科", "歯科", "大阪府", "", ""), ("6", "", "美容室", "大阪府", "", ""), ("7", None, "", "", "", ""), ("1", "株式会社秋葉コテフウ美容室", "美容室", "大阪府", "06-0012-9615", ""),
+    ("4", "北丘コテフウ美容室", "美容室", "大阪府", "06-0099-9615", ""), ("5", "秋葉コテラウ歯科", "歯科", "大阪府", "", ""), ("6", "", "美容室", "大阪府", "", ""), ("8", "山田ミクロ歯科", "歯科", "大阪府", "", "大阪府梅根市緑中央1-2-3"), ("7", None, "", "", "", ""), ("1", "株式会社秋葉コテフウ美容室", "美容室", "大阪府", "06-0012-9615", ""),
 ]
 TYPED = [
     (1, "(株)秋葉・ｺﾃﾌｳ・美容", "", "大阪府", "", ""),  # other writing
@@ -164,7 +164,8 @@ TYPED = [
     (5, "コテ 美容室", "美容室", "大阪府", "", "梅根市緑中央 八丁目三十八番二十二号"),  # cut short, the address decides
     (6, "大秋葉コテフウ美容室", "美容室", "大阪府", "", ""),  # another place
     (7, "秋葉コテフウ美容室", "美容室", "東京都", "", ""),  # another area
-    (8, "", "", "", "", ""), (9, None, None, None, None, None), (10, "あ" * 20_000, "", "", "", ""),
+    (11, "コテラウ 歯科", "", "大阪府", "", ""),  # no place, one organisation
+    (8, "", "", "", "", ""), (9, None, None, None, None, None), (10, "あ" * 20_000, "", "", "", ""), (12, "ミクロ歯科", "", "大阪府", "", "大阪府梅根市緑中央1-2-4"), (13, "ミクロ歯科", "", "大阪府", "", ""),
 ]
 
 
@@ -175,8 +176,8 @@ def test_same_organisations(spark):
     c = {n: F.col(n) for n in ("name", "industry", "area", "phone", "address")}
     got = names.same_organisations(a, b, "id", "row_no", c, c)
     rows = sorted(map(tuple, got.collect()))
-    by = {n: {i for i, m in rows if m == n} for n in range(1, 11)}
-    assert by == {1: {"1", "2", "3"}, 2: {"1", "2", "3"}, 3: set(), 4: {"4"}, 5: {"1", "2", "3"}, 6: set(), 7: set(), 8: set(), 9: set(), 10: set()}
+    by = {n: {i for i, m in rows if m == n} for n in range(1, 14)}
+    assert by == {1: {"1", "2", "3"}, 2: {"1", "2", "3"}, 3: set(), 4: {"4"}, 5: {"1", "2", "3"}, 6: set(), 7: set(), 8: set(), 9: set(), 10: set(), 11: {"5"}, 12: set(), 13: {"8"}}
     assert len(rows) == len(set(rows))
     assert names.same_organisations(a.where("false"), b, "id", "row_no", c, c).count() == 0
     assert names.same_organisations(a, b.where("false"), "id", "row_no", c, c).count() == 0
