@@ -65,7 +65,7 @@ def fax_numbers(html: Column) -> Column:
 
 
 def _fax(h: Column) -> Column:
-    return F.transform(_all(h, rf"(?iu)(?:fax|ファックス|ファクシミリ|F\.?)[\s\x{{3000}}:：\-.]*({_DASHED}|0[0-9]{{9,10}})", 1), _digits)
+    return F.transform(_all(h, rf"(?i)(?:fax|ファックス|ファクシミリ|F\.?)[\s\x{{3000}}:：\-.]*({_DASHED}|0[0-9]{{9,10}})", 1), _digits)
 
 
 def _tidy_phone(c: Column) -> Column:
@@ -77,7 +77,7 @@ def phone(html: Column) -> Column:
 
     It has 10 or 11 digits with a leading 0 and is no fax number, or starts with +81. [CX-03]
     """
-    label = r"(?iu)(?:tel|電話|お電話)[\s\x{3000}:：\-.]*"
+    label = r"(?i)(?:tel|電話|お電話)[\s\x{3000}:：\-.]*"
     tries = [r"(?i)tel:([\d\-+\s()]{7,20})", rf"{label}({_DASHED})", rf"{label}(0[0-9]{{9,10}})", rf"({_DASHED})", r"(0[0-9]{9,10})", r"(\+81[-\s\d]{8,16})"]
 
     def of(h: Column) -> Column:
@@ -102,7 +102,7 @@ def postal_address(html: Column) -> Column:
     """The address in running text: after a postal code, else after a label, else from a prefecture on; 100 characters at most. [CX-06]"""
     tidy = lambda c: F.trim(F.regexp_replace(c, r"[\s\x{3000}]+", " "))
     coded = r"〒\s*(\d{3}[－\-]\d{4}|\d{7})\s*([^<]{5,80}(?:都|道|府|県)[^<]{0,60})"
-    label = r"(?iu)(?:所在地|住所|本社所在地|事務所|拠点|所在地・アクセス|address)[\s\x{3000}]*[：:]\s*([^<]{8,100}(?:都|道|府|県)[^<]{0,60})"
+    label = r"(?i)(?:所在地|住所|本社所在地|事務所|拠点|所在地・アクセス|address)[\s\x{3000}]*[：:]\s*([^<]{8,100}(?:都|道|府|県)[^<]{0,60})"
     start = r"(?:^|>|\s)((?:北海道|東京都|大阪府|京都府|[一-龥]{2,3}県)[^<]{5,60}(?:市|区|町|村|丁目|番地|番|号)[^<]{0,40})"
 
     def of(h: Column) -> Column:
