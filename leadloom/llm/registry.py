@@ -55,6 +55,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, digest): the MD5 of what the ids of each text decode to."""
+    text = encode.decode(p8_ids(spark, sf_dir), "doc_id")
+    return text.select("doc_id", F.md5("text").alias("digest"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
@@ -65,7 +71,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_names, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_names, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p8_decoded, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

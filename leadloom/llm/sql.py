@@ -82,6 +82,7 @@ SELECT DISTINCT a.id AS id_a, b.id AS id_b, a.field FROM c a JOIN c b ON a.field
 """
 
 SQL = {
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "p3_found": _P3,
     "p9_found": _P9,
     "p10_found": _P10,
