@@ -106,6 +106,21 @@ def test_repeats_equal_the_loop(spark):
         assert {tuple(r) for r in got.collect()} == want, n
 
 
+def test_index_takes_batches_one_by_one(spark, tmp_path):
+    rng = random.Random(12)
+    url = lambda p: rng.choice(["", *(f"https://{p}{i}.example/x" for i in range(12))])
+    schema = "id string, form_url string, hp_url string, ord bigint"
+    kinds = {"form": "form_url", "home": "hp_url"}
+    past = spark.createDataFrame([(f"p{i}", url("f"), url("h"), 0) for i in range(4)], schema)
+    runs = [spark.createDataFrame([(f"b{k}{i:02d}", url("f"), url("h"), 100 * k + i) for i in range(8)], schema) for k in range(3)]
+    index = history.Index.create(past, "id", kinds, str(tmp_path / "index"))
+    got = set()
+    for k, run in enumerate([*runs, runs[2]]):  # the last batch is run again
+        got |= {tuple(r) for r in index.admit(run, "id", kinds, "ord", f"run{min(k, 2)}").collect()}
+    whole = history.repeats(past, runs[0].unionAll(runs[1]).unionAll(runs[2]), "id", kinds, "ord")
+    assert got == {tuple(r) for r in whole.collect()} and got
+
+
 def test_repeats_of_nothing(spark):
     schema = "id string, form_url string, hp_url string, ord bigint"
     e, one = spark.createDataFrame([], schema), spark.createDataFrame([("a", "https://x.example", "", None), ("b", "https://x.example/?", "", None)], schema)
