@@ -31,16 +31,21 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*(F.desc(o) for o in order)))).where("_n = 1").drop("_n")
 
 
+def _spread(df: DataFrame, key: str) -> Column:
+    """The key, or one of many that nothing has where it is missing: rows without a key don't gather in one task."""
+    return F.when(missing(F.col(key)), F.concat(F.lit("\0"), F.pmod(F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t)), F.lit(4096)).cast("string"))).otherwise(F.col(key))
+
+
 def without_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """The rows whose key the known table lacks; rows without a key stay. [JN-01, JN-04]"""
-    keys = known.select(F.col(key)).where(~missing(F.col(key))).distinct()
-    return df.join(keys, key, "left_anti")
+    keys = known.select(F.col(key).alias("_key")).where(~missing(F.col("_key"))).distinct()
+    return df.withColumn("_key", _spread(df, key)).join(keys, "_key", "left_anti").drop("_key")
 
 
 def marked_known(df: DataFrame, known: DataFrame, key: str, mark: str) -> DataFrame:
     """The rows with a column that says whether the known table has their key. [JN-02]"""
-    keys = known.select(F.col(key)).where(~missing(F.col(key))).distinct().withColumn(mark, F.lit(True))
-    return df.join(keys, key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+    keys = known.select(F.col(key).alias("_key")).where(~missing(F.col("_key"))).distinct().withColumn(mark, F.lit(True))
+    return df.withColumn("_key", _spread(df, key)).join(keys, "_key", "left").drop("_key").withColumn(mark, F.coalesce(mark, F.lit(False)))
 
 
 def merged_sources(sources: Sequence[DataFrame], key: str, order: str) -> DataFrame:
@@ -88,12 +93,13 @@ def upsert_plan(stored: DataFrame, batch: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     cols = [F.col("id"), blank("form_key").alias("f"), blank("home_key").alias("h"), blank("form_url").alias("url")]
     old, new = stored.select(*cols), batch.select(*cols, "ord")
-    by_form = W.partitionBy("f").orderBy("ord", "id")
+    alone = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit("\0"), F.col("id")))
+    by_form = W.partitionBy(alone(F.col("f"))).orderBy("ord", "id")
     marked = marked_known(marked_known(new, old, "f", "f_known"), old, "h", "h_known")
     ranked = marked.withColumn("f_rank", F.when(F.col("f") != "", F.row_number().over(by_form)).otherwise(1))
     survives = (F.col("f") == "") | ((F.col("f_rank") == 1) & ~F.col("f_known"))
     judged = ranked.withColumn("survives", survives)
-    by_home = W.partitionBy("h", "survives").orderBy("ord", "id")
+    by_home = W.partitionBy(alone(F.col("h")), "survives").orderBy("ord", "id")
     judged = judged.withColumn("h_rank", F.when((F.col("h") != "") & F.col("survives"), F.row_number().over(by_home)).otherwise(1))
     inserts = F.col("survives") & ((F.col("h") == "") | ((F.col("h_rank") == 1) & ~F.col("h_known")))
     judged = judged.withColumn("state", F.when(inserts, "insert").when(F.col("survives") & (F.col("f") != "") & (F.col("url") != ""), "candidate").otherwise("duplicate"))
