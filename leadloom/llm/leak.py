@@ -66,7 +66,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text:
 
     Null, empty and shorter texts share nothing. An item id that has several rows leaks if one of them does. The items
     are searched in blocks of at most about `block_chars` characters, so the tables each task holds stay bounded however
-    many items there are; whole documents are read for each block.
+    many items there are; whole documents are read for each block. The driver holds the items' texts: they are test
+    items, not a corpus.
     """
     doc_type, item_type = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{doc_key}` {doc_type}, `{item_key}` {item_type}"
