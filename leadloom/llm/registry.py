@@ -70,8 +70,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.shared_amounts(table(spark, sf_dir, "documents"), "doc_id")
+    return out.select(F.col("doc").alias("doc_id"), "spans", "shared")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_names, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p8_decoded, p9_found, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_names, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p8_decoded, p9_found, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:

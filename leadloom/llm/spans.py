@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadloom.sources.tables import cut
@@ -91,13 +92,14 @@ def anchors(docs: DataFrame, key: str, text: str, span: int, gram: int) -> DataF
 
 
 def occurrences(docs: DataFrame, recurring: DataFrame, key: str, text: str, span: int, gram: int, shard_docs: int = 2000, pair_docs: int = 64) -> DataFrame:
-    """(h, w, doc, before, after): every occurrence of every recurring anchor, with the characters that a span may add to it.
+    """(h, w, doc, at, before, after): every occurrence of every recurring anchor, with its place and the characters that a span may add to it.
 
     recurring: (h, doc, home, n), an anchor, a document that has it, the smallest one that has it and how many have it.
     Anchors of one home make one shard, so a document goes to few shards. Documents of a shard with more than `shard_docs`
     are split among several tasks, each with the shard's automaton; the automaton holds one document's anchors at most.
     An anchor that more than `pair_docs` documents have isn't to be compared in pairs: it gives the spans around it
     instead, each by a 128-bit hash (h and w) and without characters, so only documents that share a whole span meet.
+    `at` counts code points from 0.
     """
     reach = span - gram
     kind = docs.schema[key].dataType.simpleString()
@@ -112,7 +114,7 @@ def occurrences(docs: DataFrame, recurring: DataFrame, key: str, text: str, span
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pick, automaton, shard, hot = Anchors(span, gram), None, None, set()
-        names = ["h", "w", "doc", "before", "after"]
+        names = ["h", "w", "doc", "at", "before", "after"]
         for frame in frames:
             rows: list[tuple] = []
             for home, part, what, doc, body, hs, hot_ in frame.itertuples(index=False):
@@ -123,23 +125,26 @@ def occurrences(docs: DataFrame, recurring: DataFrame, key: str, text: str, span
                     automaton.make_automaton()
                     continue
                 assert shard == (home, part)
-                whole: set[bytes] = set()
+                whole: dict[int, bytes] = {}
                 for end, h in automaton.iter(body):
                     end += 1
                     start = end - gram
                     around = body[max(0, start - reach) : end + reach]
                     if h in hot:
-                        whole.update(hashlib.blake2b(around[i : i + span].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in range(len(around) - span + 1))
+                        first = max(0, start - reach)
+                        for i in range(len(around) - span + 1):
+                            if first + i not in whole:
+                                whole[first + i] = hashlib.blake2b(around[i : i + span].encode("utf-8", "surrogatepass"), digest_size=16).digest()
                     else:
-                        rows.append((h, "", doc, body[max(0, start - reach) : start][::-1], body[end : end + reach]))
-                rows += [(int.from_bytes(x[:8], "little", signed=True), x[8:].hex(), doc, None, None) for x in sorted(whole)]
+                        rows.append((h, "", doc, start, body[max(0, start - reach) : start][::-1], body[end : end + reach]))
+                rows += [(int.from_bytes(x[:8], "little", signed=True), x[8:].hex(), doc, i, None, None) for i, x in whole.items()]
                 if len(rows) >= 10_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
     together = streamed.unionAll(own.select(streamed.columns)).repartition("home", "part").sortWithinPartitions("home", "part", "kind")
-    return together.mapInPandas(run, f"h bigint, w string, doc {kind}, before string, after string")
+    return together.mapInPandas(run, f"h bigint, w string, doc {kind}, at int, before string, after string")
 
 
 def _common(a: str, b: str) -> int:
@@ -164,13 +169,7 @@ def shared_spans(docs: DataFrame, key: str, text: str = "text", span: int = 120,
        documents, such as a common phrase, is replaced by the spans around it, so no pairs are tried in vain.
     Null, empty and short texts share nothing; a document never pairs with itself, also when its row is repeated.
     """
-    fingerprints = anchors(docs, key, text, span, gram)
-    homes = fingerprints.groupBy("h").agg(F.min("doc").alias("home"), F.max("doc").alias("top"), F.count("*").alias("n")).where("home <> top").drop("top")
-    recurring = cut(fingerprints.join(homes, "h"))
-    found = cut(occurrences(docs, recurring, key, text, span, gram, pair_docs=pair_docs))
-    left = found.select("h", "w", F.col("doc").alias("doc_a"), F.col("before").alias("ba"), F.col("after").alias("aa"))
-    right = found.select("h", "w", F.col("doc").alias("doc_b"), F.col("before").alias("bb"), F.col("after").alias("ab"))
-    met = left.join(right, ["h", "w"]).where("doc_a < doc_b")
+    met = _met(docs, key, text, span, gram, pair_docs).where("doc_a < doc_b")
     kind = docs.schema[key].dataType.simpleString()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,3 +184,46 @@ def shared_spans(docs: DataFrame, key: str, text: str = "text", span: int = 120,
                 yield pa.record_batch([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], names=["doc_a", "doc_b"])
 
     return met.select("doc_a", "doc_b", "ba", "aa", "bb", "ab").mapInArrow(verify, f"doc_a {kind}, doc_b {kind}").distinct()
+
+
+def _met(docs: DataFrame, key: str, text: str, span: int, gram: int, pair_docs: int) -> DataFrame:
+    """Occurrences of one anchor (or span) in two documents: doc_a, at_a, ba, aa and doc_b, bb, ab, the characters around them."""
+    fingerprints = anchors(docs, key, text, span, gram)
+    homes = fingerprints.groupBy("h").agg(F.min("doc").alias("home"), F.max("doc").alias("top"), F.count("*").alias("n")).where("home <> top").drop("top")
+    recurring = cut(fingerprints.join(homes, "h"))
+    found = cut(occurrences(docs, recurring, key, text, span, gram, pair_docs=pair_docs))
+    left = found.select("h", "w", F.col("doc").alias("doc_a"), F.col("at").alias("at_a"), F.col("before").alias("ba"), F.col("after").alias("aa"))
+    right = found.select("h", "w", F.col("doc").alias("doc_b"), F.col("before").alias("bb"), F.col("after").alias("ab"))
+    return left.join(right, ["h", "w"])
+
+
+def shared_amounts(docs: DataFrame, key: str, text: str = "text", span: int = 120, gram: int = 64, pair_docs: int = 64) -> DataFrame:
+    """(doc, spans, shared): how many characters of a document lie in spans of `span` or more that another document has, and in how many pieces.
+
+    Documents that share nothing have no row. Every shared character lies in a window of `span` characters that has an
+    anchor, so the stretches found around the anchors cover just what is shared. A span repeated within one document only
+    isn't shared; a repeated row is one document.
+    """
+    met = _met(docs, key, text, span, gram, pair_docs).where("doc_a <> doc_b")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: set[tuple] = set()
+            for x, at, ba, aa, bb, ab in zip(*(c.to_pylist() for c in b.columns)):
+                if ba is None:
+                    out.add((x, at, at + span))
+                else:
+                    left, right = _common(ba, bb), _common(aa, ab)
+                    if left + gram + right >= span:
+                        out.add((x, at - left, at + gram + right))
+            if out:
+                doc, start, end = zip(*sorted(out))
+                yield pa.record_batch([pa.array(doc, b.column(0).type), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc", "start", "end"])
+
+    pieces = met.select("doc_a", "at_a", "ba", "aa", "bb", "ab").mapInArrow(stretches, f"doc {kind}, start int, end int")
+    longest = pieces.groupBy("doc", "start").agg(F.max("end").alias("end"))
+    before = F.max("end").over(W.partitionBy("doc").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    fresh = longest.withColumn("before", before).withColumn("new", F.col("before").isNull() | (F.col("start") > F.col("before")))
+    gained = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce("before", "start")), F.lit(0))
+    return fresh.groupBy("doc").agg(F.count_if("new").alias("spans"), F.sum(gained).alias("shared"))

@@ -81,7 +81,16 @@ c AS (SELECT * FROM l WHERE lower(look) NOT IN ({_PLACEHOLDERS})
 SELECT DISTINCT a.id AS id_a, b.id AS id_b, a.field FROM c a JOIN c b ON a.field = b.field AND a.look = b.look AND a.value <> b.value AND a.id < b.id
 """
 
+_SHARED = """
+WITH g AS (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS i FROM documents WHERE length(text) >= 120),
+w AS (SELECT doc_id, i, md5(substring(text, i, 120)) AS s FROM g),
+m AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 120)) AS pos FROM w SEMI JOIN m ON m.s = w.s)
+SELECT doc_id, count(*) FILTER (pos - p > 1 OR p IS NULL) AS spans, count(*) AS shared FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM c) GROUP BY doc_id
+"""
+
 SQL = {
+    "p10_shared": _SHARED,
     "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "p3_found": _P3,
     "p9_found": _P9,

@@ -113,6 +113,15 @@ def test_spans_equal_brute_force(spark):
         got = spans.shared_spans(df, "doc_id", span=24, gram=12, pair_docs=pair_docs)
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert spans.shared_spans(df.where("false"), "doc_id").count() == 0
+    texts = {d: t for d, t in docs if d is not None and t}
+    owners = {}
+    for d, t in texts.items():
+        for k in range(len(t) - 23):
+            owners.setdefault(t[k : k + 24], set()).add(d)
+    amounts = {d: len({i for k in range(len(t) - 23) if len(owners[t[k : k + 24]]) > 1 for i in range(k, k + 24)}) for d, t in texts.items()}
+    for pair_docs in (64, 2):
+        out = spans.shared_amounts(df, "doc_id", span=24, gram=12, pair_docs=pair_docs)
+        assert {r["doc"]: r["shared"] for r in out.collect()} == {d: n for d, n in amounts.items() if n}
 
 
 def test_hot_passage_is_split(spark):
