@@ -198,6 +198,23 @@ def test_same_organisations(spark):
     assert names.same_organisations(a, b.where("false"), "id", "row_no", c, c).count() == 0
 
 
+def test_rows_without_an_area(spark):
+    cols = "name string, industry string, area string, phone string, address string"
+    stored = [
+        ("1", "秋葉コテフウ美容室", "美容室", "大阪府", "", ""), ("2", "北丘コテフウ美容室", "美容室", "東京都", "06-0099-9615", ""), ("3", "北丘コテフウ美容室", "美容室", "大阪府", "", ""),
+        ("4", "山田ミクロ歯科", "歯科", "", "", ""), ("5", "山田ミクロ歯科", "歯科", "大阪府", "", ""),
+    ]
+    typed = [
+        (1, "秋葉コテフウ ヘア", "", "", "", ""), (2, "秋葉コテフ美容室", "美容室", None, "", ""), (3, "北丘コテフウ美容室", "", "", "", ""),  # 3: two areas, nothing decides
+        (4, "北丘コテフウ美容室", "", "", "0600991111", ""), (5, "山田ミクロ歯科", "", "", "", ""), (6, "山田ミクロ歯科", "", "東京都", "", ""), (7, "ミクロ歯科", "", None, "", ""),
+        (8, "北丘コテフウ美容室", "", "", "0600999615", ""),
+    ]
+    a, b = spark.createDataFrame(stored, f"id string, {cols}"), spark.createDataFrame(typed, f"row_no bigint, {cols}")
+    c = {n: F.col(n) for n in ("name", "industry", "area", "phone", "address")}
+    found = sorted(map(tuple, names.same_organisations(a, b, "id", "row_no", c, c).collect()))
+    assert {n: {i for i, m in found if m == n} for n in range(1, 9)} == {1: {"1"}, 2: {"1"}, 3: set(), 4: set(), 5: {"4", "5"}, 6: {"4"}, 7: {"4", "5"}, 8: {"2"}}
+
+
 def test_name_parts():
     n = names.parse("【雪川町】株式会社にしだい ミモヌセ リフォームスタジオ 様")
     assert n == names.Name("nishidai", "mimonuse", "工務店", "株式会社")
