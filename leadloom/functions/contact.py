@@ -113,6 +113,43 @@ def postal_address(html: Column) -> Column:
     return let(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>", " "), r"\n+", " "), of)
 
 
+def _item(h: Column, name: str) -> Column:
+    """The text right after a tag with that itemprop, '' if there is none."""
+    return _trim(F.regexp_extract(h, rf"""(?i)itemprop=["']{name}["'][^>]*>([^<]+)<""", 1))
+
+
+def _trim(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[\s\x{3000}\x{A0}]+|[\s\x{3000}\x{A0}]+$", "")
+
+
+def item_phone(html: Column) -> Column:
+    """The phone number of a page's microdata, if it has 10 or 11 digits with a leading 0. [CX-03]"""
+    h = F.coalesce(html, F.lit(""))
+    before = F.regexp_extract(h, r"""(?i)>([^<]+)<[^>]+itemprop=["']telephone["']""", 1)
+    after = F.regexp_extract(h, r"""(?i)itemprop=["']telephone["'][^>]*>([^<]+)<""", 1)
+    return let(_trim(first_given(after, before)), lambda t: F.when(_digits(t).rlike("^0[0-9]{9,10}$"), t).otherwise(""))
+
+
+def item_address(html: Column) -> Column:
+    """The address of a page's microdata: a flat one, else two of its parts or more. [CX-06]"""
+    h = F.coalesce(html, F.lit(""))
+    flat = F.regexp_extract(h, r"""(?i)itemprop=["']address["'][^>]*>([^<]{5,120})<""", 1)
+    code = let(_item(h, "postalCode"), lambda c: F.when(c != "", F.concat(F.lit("〒"), F.regexp_replace(c, "^〒", ""))).otherwise(""))
+    parts = F.filter(F.array(code, *(_item(h, n) for n in ("addressRegion", "addressLocality", "streetAddress"))), lambda x: x != "")
+    joined = let(parts, lambda p: F.when(F.size(p) >= 2, F.array_join(p, " ")).otherwise(""))
+    return let(flat, lambda f: F.when(f != "", _trim(F.regexp_replace(f, r"[\s\x{3000}\x{A0}]+", " "))).otherwise(joined))
+
+
+def page_phone(html: Column, structured: Column) -> Column:
+    """The phone number of a page's structured data, else of its text. [CX-03]
+
+    structured: the number JSON-LD gives. A structured number that is none leaves the page without one.
+    """
+    tidy = F.regexp_replace(F.translate(first_given(F.coalesce(structured, F.lit("")), item_phone(html)), "（）－–—", "()---"), r"[\s\x{3000}\x{A0}]+", "")
+    good = lambda t: _digits(t).rlike("^0[0-9]{9,10}$") | F.startswith(t, F.lit("+81"))
+    return let(tidy, lambda t: F.when(t == "", phone(html)).when(good(t), t).otherwise(""))
+
+
 def merged(of_form: Column, of_home: Column, only_gaps: bool = False) -> Column:
     """A value of the form's page before the home page's; with `only_gaps` the other way round. [CX-08]"""
     return or_else(of_home, F.coalesce(of_form, F.lit(""))) if only_gaps else or_else(of_form, F.coalesce(of_home, F.lit("")))

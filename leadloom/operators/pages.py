@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as H
-from leadloom.functions import lists, urls
+from leadloom.functions import contact, lists, urls
 from leadloom.functions.text import or_else
 
 _GO = re.compile(r"""(?:window\.)?location(?:\.href)?\s*=\s*["']([^"']+)""")
@@ -166,6 +166,13 @@ def page_facts(pages: DataFrame, key: str, url: str = "url", html: str = "html")
     return pages.select(key, F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, f"`{key}` {kind}, url string, html string, {_FACTS}")
 
 
+def contacts(facts: DataFrame, key: str, *also: str) -> DataFrame:
+    """(key, email, phone, address and the columns `also`) of each page: JSON-LD, then microdata (not for e-mail), then the text. [CX-01, CX-03, CX-06]"""
+    h = F.col("html")
+    email, address = or_else(F.col("ld_email"), contact.email(h)), or_else(F.col("ld_address"), or_else(contact.item_address(h), contact.postal_address(h)))
+    return facts.select(key, email.alias("email"), contact.page_phone(h, F.col("ld_phone")).alias("phone"), address.alias("address"), *also)
+
+
 def link_rows(facts: DataFrame, key: str) -> DataFrame:
     """One row per link of each page, with its host. [FL-19]"""
     rows = facts.select(key, F.col("url").alias("page_url"), F.explode("links").alias("l")).select(key, "page_url", "l.*")

@@ -342,11 +342,28 @@ def page_texts(spark, d):
 
 
 def page_contacts(spark, d):
-    h = _html()
-    return _companies(spark, d).select(
-        "id", contact.email(h).alias("email"), contact.first_email(h).alias("first_email"), contact.phone(h).alias("phone"), contact.first_phone(h).alias("first_phone"),
-        F.size(contact.fax_numbers(h)).cast("bigint").alias("faxes"), contact.postal_address(h).alias("address"),
+    h = F.col("html")
+    facts = _facts(spark, d).select("*", contact.first_email(h).alias("first_email"), contact.first_phone(h).alias("first_phone"), F.size(contact.fax_numbers(h)).cast("bigint").alias("faxes"))
+    return pages.contacts(facts, "id", "first_email", "first_phone", "faxes")
+
+
+def _structured_html() -> Column:
+    """A company's page with JSON-LD, microdata or both, whose values differ from those in its text."""
+    x = lambda n: F.coalesce(F.col(n), F.lit(""))
+    place = F.struct(x("area").alias("addressRegion"), x("address").alias("streetAddress"))
+    ld = F.struct(F.concat(F.lit("ld."), x("email")).alias("email"), x("phone").alias("telephone"), place.alias("address"))
+    json = F.concat(F.lit("<script type=\"application/ld+json\">"), F.to_json(ld), F.lit("</script>"))
+    items = F.concat(
+        F.lit("<p itemprop=\"telephone\">"), x("phone"), F.lit("</p><div itemprop=\"address\" itemscope><b itemprop=\"addressRegion\">"), x("area"),
+        F.lit("</b><b itemprop=\"streetAddress\">"), x("address"), F.lit("</b></div>"),
     )
+    kind = F.pmod(F.crc32("id"), F.lit(3))
+    return F.concat(_html(), F.when(kind == 0, json).when(kind == 1, items).otherwise(F.concat(json, items)))
+
+
+def structured_contacts(spark, d):
+    shown = _companies(spark, d).select("id", F.coalesce("hp_url", F.lit("")).alias("url"), _structured_html().alias("html"))
+    return pages.contacts(pages.page_facts(shown, "id"), "id")
 
 
 def _facts(spark, d):
@@ -564,7 +581,7 @@ QUERIES = [
     run_tree, run_children, batch_rollup, rollup_needed, conversion, success_share, queue_position, newest_runs, stale_runs, next_project, token_totals, actual_counts,
     child_targets, retries, file_names, query_expand, query_together, query_excluded, area_parts, organic_results, not_aggregated, result_names, area_density, first_forms,
     unknown_forms, known_homes, merged_sources, places_once, batch_report, last_sheet_rows, keys_once, upsert_plan, upsert_counts, upserted_types, document_contacts, page_texts,
-    page_contacts, page_links, best_links, page_forms, page_checks, type_hints, probe_plans, word_classes, page_classes, reclassified, stored_types, model_identity,
+    page_contacts, structured_contacts, page_links, best_links, page_forms, page_checks, type_hints, probe_plans, word_classes, page_classes, reclassified, stored_types, model_identity,
     event_windows, event_sessions, events_in_window, events_limited, longest_runs, latest_values, event_props,
     newest_projects, oldest_unsent, run_lookup, runs_of_project, queue_idle, sheet_hosts, full_pages, enough_runs, known_areas, run_payloads, sending_gates, history_search,
     recovered_jobs, run_metrics, outcome_counts, target_count, run_speed, top_form_hosts, type_shares, area_coverage, label_suggestions, project_run_ids, edited_ids, capped_texts,

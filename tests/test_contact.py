@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.functions import contact, html
+from leadloom.operators import pages
 
 CASES = [
     (contact.phone, '<a href="tel:03-1234-5678">', "03-1234-5678"),
@@ -47,3 +48,24 @@ def test_form_text(spark):
 def test_merge_direction(spark):
     df = spark.createDataFrame([("form", "home"), ("", "home"), (None, None)], "f string, h string")
     assert [tuple(r) for r in df.select(contact.merged(F.col("f"), F.col("h")), contact.merged(F.col("f"), F.col("h"), True)).collect()] == [("form", "home"), ("home", "home"), ("", "")]
+
+
+STRUCTURED = [
+    ('<script type="application/ld+json">{"email": "ld@a.jp", "telephone": "03-1111-2222", "address": {"postalCode": "100-0001", "addressRegion": "東京都", "streetAddress": "1-1"}}</script>'
+     '<a href="mailto:info@b.jp"><a href="tel:03-3333-4444"><p>住所：大阪府大阪市北区1-1-1</p>', ("ld@a.jp", "03-1111-2222", "〒100-0001 東京都 1-1")),
+    ('<script type="application/ld+json">{"telephone": "12"}</script><p itemprop="telephone">03-1111-2222</p> TEL 03-3333-4444', ("", "", "")),
+    ('<b itemprop="telephone" class="x"> ０３ </b> TEL 03-3333-4444', ("", "03-3333-4444", "")),
+    ('<b itemprop="telephone"> 03（1111）2222 </b> TEL 03-3333-4444', ("", "03(1111)2222", "")),
+    ('<b>x</b>03-1111-2222<i itemprop="telephone"></i> TEL 03-3333-4444', ("", "03-1111-2222", "")),
+    ('FAX 03-1111-2222 <b itemprop="telephone">03-1111-2222</b>', ("", "03-1111-2222", "")),
+    ('<p itemprop="address">大阪府　大阪市 1-1</p><p>住所：東京都千代田区千代田1-1</p>', ("", "", "大阪府 大阪市 1-1")),
+    ('<div itemprop="address" itemscope><b itemprop="postalCode">〒100-0001</b><b itemprop="addressRegion">東京都</b></div>', ("", "", "〒100-0001 東京都")),
+    ('<b itemprop="addressRegion">東京都</b><p>住所：本社は大阪にある大阪府大阪市1-1</p>', ("", "", "本社は大阪にある大阪府大阪市1-1")),
+    (None, ("", "", "")),
+]
+
+
+def test_structured_data_comes_first(spark):
+    df = spark.createDataFrame([(i, "https://a.example/", h) for i, (h, _) in enumerate(STRUCTURED)], "id int, url string, html string")
+    got = {r["id"]: (r["email"], r["phone"], r["address"]) for r in pages.contacts(pages.page_facts(df, "id"), "id").collect()}
+    assert got == {i: want for i, (_, want) in enumerate(STRUCTURED)}
