@@ -49,6 +49,16 @@ SKIPPED_DOMAINS = [
     "linkedin.com", "tiktok.com", "recruit.co.jp", "indeed.com", "wantedly.com", "yahoo.co.jp", "rakuten.co.jp", "amazon.co.jp", "beauty.hotpepper.jp", "minimo.io",
     "hairbook.jp", "riyou.jp", "epark.jp", "homemate-research.com", "zehitomo.com", "baseconnect.in",
 ]
+WORKFLOW_SKIPPED = [
+    "jalan.net", "tabelog.com", "hotpepper.jp", "ekiten.jp", "townpage.ntt.co.jp", "navitime.co.jp", "navitime.jp", "mapion.co.jp", "its-mo.com", "iphone.jorudan.co.jp",
+    "yelp.com", "yelp.co.jp", "retty.me", "gurunavi.com", "gnavi.co.jp", "r.gnavi.co.jp", "google.com", "facebook.com", "instagram.com", "twitter.com", "x.com",
+    "youtube.com", "wikipedia.org", "linkedin.com", "tiktok.com", "pinterest.com", "maps.apple.com", "maps.google.com", "recruit.co.jp", "indeed.com", "wantedly.com",
+    "yahoo.co.jp", "rakuten.co.jp", "amazon.co.jp", "beauty.hotpepper.jp", "minimo.io", "hairbook.jp", "riyou.jp", "bestsalonreport.jp", "beauty-park.jp", "minimodel.jp",
+    "cuts.jp", "hairsalon-map.com", "9483.jp", "styledesigner.net", "kotomise.jp", "repicolle.jp", "hair.socie.jp", "beautysalon.jp-book.store", "beautysalon.potatoo.jp",
+    "epark.jp", "homemate-research.com", "iryou.teikyouseido.mhlw.go.jp", "jhdac.org", "kiyose.or.jp", "katusika-e-toko.com", "judo-ch.jp", "body-care.expert",
+    "karadarefre.jp", "zehitomo.com", "baseconnect.in", "pathee.com", "hair-land.jp", "seahorsejp.com", "web-zest.co.jp", "people-brand.com", "palanjp.com",
+    "beauty.mirai-agent.jp", "aderans.co.jp", "kinujo.jp", "am-shuuemura.jp", "el.e-shops.jp", "modshair.co.jp", "salon.tbmg.jp", "higasiyamatotida.wixsite.com",
+]
 AGGREGATORS = [
     "hotpepper.jp", "beauty.hotpepper.jp", "minimo.io", "rakuten.co.jp", "tabelog.com", "jalan.net", "booking.com", "airbnb.com", "tripadvisor", "indeed.com", "recruit.co.jp",
     "townwork.net", "baito.com", "instagram.com", "facebook.com", "twitter.com", "x.com", "youtube.com", "ameblo.jp", "cookpad.com", "gurunavi.com", "eparkbeauty.com",

@@ -255,6 +255,10 @@ def organic_results(spark, d):
     return search.organic(table(spark, d, "documents"), "url", [*lists.SKIPPED_DOMAINS, "machi-navi.example"]).select("doc_id", "host")
 
 
+def organic_workflow(spark, d):
+    return search.organic(table(spark, d, "documents"), "url", [*lists.WORKFLOW_SKIPPED, "machi-navi.example"]).select("doc_id", "host")
+
+
 def not_aggregated(spark, d):
     return search.not_aggregated(table(spark, d, "companies"), "hp_url").select("id", "host")
 
@@ -579,7 +583,7 @@ QUERIES = [
     url_keys, url_flags, stored_keys_agree, host_counts, host_top, grid_page, grid_search, grid_counts, grid_in_runs, facet_industry, facet_area, status_counts, type_counts,
     type_by_industry, project_stats, form_keys, home_keys, localised_rows, imported_rows, bulk_update, run_deleted, pruned, collected_at, csv_lines, tab_counts, run_history,
     run_tree, run_children, batch_rollup, rollup_needed, conversion, success_share, queue_position, newest_runs, stale_runs, next_project, token_totals, actual_counts,
-    child_targets, retries, file_names, query_expand, query_together, query_excluded, area_parts, organic_results, not_aggregated, result_names, area_density, first_forms,
+    child_targets, retries, file_names, query_expand, query_together, query_excluded, area_parts, organic_results, organic_workflow, not_aggregated, result_names, area_density, first_forms,
     unknown_forms, known_homes, merged_sources, places_once, batch_report, last_sheet_rows, keys_once, upsert_plan, upsert_counts, upserted_types, document_contacts, page_texts,
     page_contacts, structured_contacts, page_links, best_links, page_forms, page_checks, type_hints, probe_plans, word_classes, page_classes, reclassified, stored_types, model_identity,
     event_windows, event_sessions, events_in_window, events_limited, longest_runs, latest_values, event_props,

@@ -297,6 +297,7 @@ SQL = {
     "area_parts": f"""WITH parts AS (SELECT area, industry AS part, dense_rank() OVER (PARTITION BY area ORDER BY industry) AS ord FROM (SELECT DISTINCT area, industry FROM companies WHERE coalesce(area, '') <> '' AND coalesce(industry, '') <> ''))
         SELECT r.id, r.area, coalesce(p.part, r.area) AS part, coalesce(p.ord, 0) AS ord FROM ({_REQ}) r LEFT JOIN parts p ON p.area = r.area""",
     "organic_results": f"SELECT doc_id, host FROM (SELECT doc_id, {_raw_host('url')} AS host FROM documents) WHERE host <> '' AND NOT {_on('host', [*lists.SKIPPED_DOMAINS, 'machi-navi.example'])}",
+    "organic_workflow": f"SELECT doc_id, host FROM (SELECT doc_id, {_raw_host('url')} AS host FROM documents) WHERE host <> '' AND NOT {_on('host', [*lists.WORKFLOW_SKIPPED, 'machi-navi.example'])}",
     "not_aggregated": f"SELECT id, host FROM (SELECT id, {_host('hp_url')} AS host FROM companies) WHERE host <> '' AND NOT {_has_any('host', lists.AGGREGATORS)}",
     "result_names": f"SELECT doc_id, coalesce(CASE WHEN {_LONGEST} > 5 THEN list_filter({_NAME_PARTS}, lambda x: length(x) = {_LONGEST})[1] ELSE {_NAME_PARTS}[1] END, '') AS name, trim({_re(_n('title'), (r'\s*[|｜]\s*.+$', ''), (r'\s*[-–—]\s*.+$', ''), ('【[^】]*】', ''))}, ' ') AS clean FROM documents",
     "area_density": f"""SELECT tier, count(*) AS n, max(CASE tier WHEN 'high' THEN 4 WHEN 'medium' THEN 2 ELSE 1 END)::bigint AS most FROM (SELECT CASE WHEN a IN ('港区', '中央区', '広島市') THEN 'high' WHEN a IN ('長野市', '静岡市') THEN 'medium'

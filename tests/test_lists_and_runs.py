@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from leadloom.functions.lists import LOCALISED
+from leadloom.functions.lists import LOCALISED, WORKFLOW_SKIPPED
 from leadloom.operators import catalog, classify, limits, runs, search
 from leadloom.sources import export, readers
 
@@ -125,3 +125,10 @@ def test_readers(spark, tmp_path):
     assert sorted((r["run"], r["name"], r["hp_url"]) for r in readers.parsed_records(df, "body", schema).collect() if r["name"]) == [("r1", "a", None)]
     raw = spark.createDataFrame([(1, bytearray("日本".encode("cp932")), "text/html; charset=Shift_JIS"), (2, bytearray('<meta charset="euc-jp">日本'.encode("euc_jp")), ""), (3, bytearray(b"\xff"), None), (4, None, None)], "id int, raw binary, content_type string")
     assert [r["html"] for r in readers.decoded_pages(raw, "id").orderBy("id").collect()] == ["日本", '<meta charset="euc-jp">日本', "�", ""]
+
+
+def test_the_workflow_skips_its_own_list(spark):
+    hosts = ["bestsalonreport.jp", "www.pathee.com", "a.judo-ch.jp", "hairsalon-map.com", "beauty-park.jp", "notpathee.com", "a.example"]
+    df = spark.createDataFrame([(f"https://{h}/x",) for h in hosts], "link string")
+    assert [r["host"] for r in search.organic(df, "link", WORKFLOW_SKIPPED).collect()] == ["notpathee.com", "a.example"]
+    assert len(WORKFLOW_SKIPPED) == len(set(WORKFLOW_SKIPPED)) == 75
