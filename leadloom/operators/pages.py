@@ -429,6 +429,16 @@ def booking_fallback(df: DataFrame, url: str, form: str) -> DataFrame:
     return df.withColumn("by_booking", hit).withColumn(form, F.when(hit, F.col(url)).otherwise(or_else(F.col(form), "")))
 
 
+def booking_redirect(homes: DataFrame, key: str, url: str = "url", final: str = "final_url") -> DataFrame:
+    """(key, form_url, hint) of the home pages that were redirected to a booking or social service: that address, 'booking'.
+
+    This comes before any link is followed; the other sites have no row. [CL-13, early booking redirect]
+    """
+    moved = F.coalesce(F.col(final), F.lit("")) != F.coalesce(F.col(url), F.lit(""))
+    hit = moved & urls.on_hosts(urls.host_key(F.col(final)), lists.REDIRECT_HOSTS)
+    return homes.where(F.coalesce(hit, F.lit(False))).select(key, F.col(final).alias("form_url"), F.lit("booking").alias("hint"))
+
+
 def simple_link_score(text: Column, url: Column, words: list[str]) -> Column:
     """The plain score of a link: 10 per word in its text, 5 per word in its address, 8 for either pattern. [CL-04, FL-23]"""
     a, b = F.lower(text), F.lower(url)

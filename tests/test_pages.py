@@ -109,3 +109,9 @@ def test_booking_and_simple_scores(spark):
     assert [r["f"] for r in pages.booking_fallback(df, "u", "f").collect()] == ["https://x.coubic.com/", ""]
     s = spark.createDataFrame([("Contact", "https://a.example/contact")], "t string, u string").select(pages.simple_link_score(F.col("t"), F.col("u"), ["contact", "問い合わせ"])).first()[0]
     assert s == 23
+
+
+def test_home_pages_redirected_to_a_booking_service(spark):
+    rows = [(1, "https://a.example/", "https://www.coubic.com/a"), (2, "https://b.example/", "https://b.example/top"), (3, "https://coubic.com/c", "https://coubic.com/c"), (4, "https://d.example/", None), (5, "https://e.example/", "https://notcoubic.com/"), (6, None, "https://x.reserva.be/")]
+    out = pages.booking_redirect(spark.createDataFrame(rows, "id int, url string, final_url string"), "id")
+    assert sorted(map(tuple, out.collect())) == [(1, "https://www.coubic.com/a", "booking"), (6, "https://x.reserva.be/", "booking")]
