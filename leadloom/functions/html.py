@@ -79,7 +79,11 @@ def canonical_href(html: Column) -> Column:
 
 def rendered_by_script(html: Column) -> Column:
     """Whether the page is a shell that scripts fill. [TX-15]"""
-    return F.coalesce(html, F.lit("")).rlike(r"__NEXT_DATA__|__NUXT__|_nuxt/|window\.__INITIAL_STATE__|<div id=\"(?:app|__next)\"></div>|window\.__gatsby|___gatsby|<div id=\"gatsby-focus-wrapper\"")
+    marks = (
+        r"""__NEXT_DATA__|__NUXT__|_nuxt/|window\.__INITIAL_STATE__|<div id="(?:app|__next)"></div>|window\.__gatsby|___gatsby|<div id="gatsby-focus-wrapper"|remixContext|"""
+        r"""window\.__remixContext|<astro-island|ng-version=|<app-root[\s>]|window\.angular|data-page=["']\{.*"component\""""
+    )
+    return F.coalesce(html, F.lit("")).rlike(marks)
 
 
 # Marks of site builders.

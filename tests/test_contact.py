@@ -69,3 +69,10 @@ def test_structured_data_comes_first(spark):
     df = spark.createDataFrame([(i, "https://a.example/", h) for i, (h, _) in enumerate(STRUCTURED)], "id int, url string, html string")
     got = {r["id"]: (r["email"], r["phone"], r["address"]) for r in pages.contacts(pages.page_facts(df, "id"), "id").collect()}
     assert got == {i: want for i, (_, want) in enumerate(STRUCTURED)}
+
+
+def test_script_shells(spark):
+    shells = ["<script>window.__remixContext = {}</script>", "<astro-island uid='1'>", '<app-root ng-version="17">', "<app-root>", "window.angular", """<div id="app" data-page='{"component":"Home"}'>""", '<div id="app"></div>', "__NUXT__"]
+    others = ["<app-rooted>", "<div data-page='{}'>", '<div id="app">x</div>', "", None]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate([*shells, *others])], "i int, h string")
+    assert {r["i"] for r in df.where(html.rendered_by_script(F.col("h"))).collect()} == set(range(len(shells)))
