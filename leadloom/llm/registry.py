@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,14 @@ def p2_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.consensus(table(spark, sf_dir, "companies"), "normalized_form_url", "id", "name")
 
 
+def p2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, keep_id, value_id, value): the consensus of the usable phones, e-mails and form types, newer rows weighing more."""
+    usable = {"phone": survivor.usable_phone, "email": survivor.usable_email, "form_type": survivor.usable_type}
+    rows = table(spark, sf_dir, "companies").withColumns({f: F.when(of(F.col(f)), F.col(f)) for f, of in usable.items()})
+    parts = [survivor.consensus(rows, "normalized_form_url", "id", f, survivor.recency(F.col("collected_at"))).select(F.lit(f).alias("field"), "*") for f in usable]
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.look_alikes(table(spark, sf_dir, "companies"), "id", ["name", "phone", "address"])
 
@@ -76,7 +86,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_names, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p8_decoded, p9_found, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p2_found, p2_names, p2_fields, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p8_decoded, p9_found, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:

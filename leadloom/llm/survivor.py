@@ -119,6 +119,12 @@ def _votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*now, profile.consensus(), profile.weight)], columns=["g", "part", "v", "w"])
 
 
+def recency(c: Column) -> Column:
+    """The weight of a row by when it was collected: doubled with every year since 2020; the least where that isn't known."""
+    years = F.coalesce((instant(c) / 1_000_000 - 1577836800) / (365 * 86400), F.lit(-10.0))
+    return F.pow(F.lit(2.0), F.greatest(F.least(years, F.lit(20.0)), F.lit(-10.0)))
+
+
 def consensus(df: DataFrame, group: str, key: str, value: str, weight: Column | None = None, part_values: int = 1000) -> DataFrame:
     """(keep_id, value_id, value): per non-empty group of two rows or more the existing value closest to the group's token consensus.
 

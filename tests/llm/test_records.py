@@ -51,6 +51,14 @@ def test_consensus(spark):
     assert survivor.consensus(df.where("false"), "g", "id", "name").count() == 0
 
 
+def test_consensus_by_recency(spark):
+    rows = [("a", "1", "03-1111-2222", "2020-01-01"), ("a", "2", "03-1111-2222", "2020-01-01"), ("a", "3", "03-9999-8888", "2026-01-01"), ("b", "4", "x", None), ("b", "5", "y", "2020/1/1 9:00:00"), ("c", "6", "z", "?"), ("c", "7", "z", None)]
+    df = spark.createDataFrame(rows, "g string, id string, v string, at string")
+    got = sorted(map(tuple, survivor.consensus(df, "g", "id", "v", survivor.recency(F.col("at"))).collect()))
+    assert got == [("1", "3", "03-9999-8888"), ("4", "5", "y"), ("6", "6", "z")]
+    assert ("1", "1", "03-1111-2222") in set(map(tuple, survivor.consensus(df, "g", "id", "v").collect()))
+
+
 # formatting copies
 
 
