@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getConf().get("spark.checkpoint.dir", "")
     if not folder:
         held = sc._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="leadloom-")
+        if held.isDefined():
+            folder = held.get()
+        elif re.match(r"local(\[|$)", sc.master):
+            folder = tempfile.mkdtemp(prefix="leadloom-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -34,13 +40,30 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders of the scratch tables that haven't been dropped.
+_HELD: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def release() -> None:
+    """Drop the scratch tables written so far, for long sessions, once the results that read them have been written; the rest goes at exit."""
+    while _HELD:
+        path, spark = _HELD.popitem()
+        _drop(spark, path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder; `release` drops it."""
+    path = f"{scratch_dir(spark).rstrip('/')}/leadloom-{uuid.uuid4().hex}"
+    _HELD[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it again: its plan is computed once, and a lost executor loses nothing.
 
     The rows and the schema stay as they are; an empty frame stays empty.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/leadloom-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
