@@ -169,7 +169,7 @@ def shared_spans(docs: DataFrame, key: str, text: str = "text", span: int = 120,
        documents, such as a common phrase, is replaced by the spans around it, so no pairs are tried in vain.
     Null, empty and short texts share nothing; a document never pairs with itself, also when its row is repeated.
     """
-    met = _met(docs, key, text, span, gram, pair_docs).where("doc_a < doc_b")
+    met = _met(_found(docs, key, text, span, gram, pair_docs)).where("doc_a < doc_b")
     kind = docs.schema[key].dataType.simpleString()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,42 +186,72 @@ def shared_spans(docs: DataFrame, key: str, text: str = "text", span: int = 120,
     return met.select("doc_a", "doc_b", "ba", "aa", "bb", "ab").mapInArrow(verify, f"doc_a {kind}, doc_b {kind}").distinct()
 
 
-def _met(docs: DataFrame, key: str, text: str, span: int, gram: int, pair_docs: int) -> DataFrame:
-    """Occurrences of one anchor (or span) in two documents: doc_a, at_a, ba, aa and doc_b, bb, ab, the characters around them."""
+def _found(docs: DataFrame, key: str, text: str, span: int, gram: int, pair_docs: int) -> DataFrame:
+    """The occurrences of the anchors that two documents or more have."""
     fingerprints = anchors(docs, key, text, span, gram)
     homes = fingerprints.groupBy("h").agg(F.min("doc").alias("home"), F.max("doc").alias("top"), F.count("*").alias("n")).where("home <> top").drop("top")
     recurring = cut(fingerprints.join(homes, "h"))
-    found = cut(occurrences(docs, recurring, key, text, span, gram, pair_docs=pair_docs))
-    left = found.select("h", "w", F.col("doc").alias("doc_a"), F.col("at").alias("at_a"), F.col("before").alias("ba"), F.col("after").alias("aa"))
+    return cut(occurrences(docs, recurring, key, text, span, gram, pair_docs=pair_docs))
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """Occurrences of one anchor (or span) in two documents: doc_a, ba, aa and doc_b, bb, ab, the characters around them."""
+    left = found.select("h", "w", F.col("doc").alias("doc_a"), F.col("before").alias("ba"), F.col("after").alias("aa"))
     right = found.select("h", "w", F.col("doc").alias("doc_b"), F.col("before").alias("bb"), F.col("after").alias("ab"))
     return left.join(right, ["h", "w"])
 
 
+def shared_stretches(rows: list[tuple], gram: int, reach: int) -> list[tuple]:
+    """(doc, start, end): what each occurrence of one anchor shares with occurrences in other documents, by the windows of full length around it.
+
+    rows: doc, at, and the characters before (nearest first) and after. Windows are looked up, not compared in pairs.
+    """
+    around: dict[tuple[str, str], list[tuple]] = {}
+    for doc, at, before, after in rows:
+        around.setdefault((before, after), []).append((doc, at))
+    holders: list[dict[tuple[str, str], tuple]] = [{} for _ in range(reach + 1)]
+    for (before, after), places in around.items():
+        low, high = min(d for d, _ in places), max(d for d, _ in places)
+        for j in range(max(0, reach - len(after)), min(reach, len(before)) + 1):
+            window = (before[:j], after[: reach - j])
+            a, b = holders[j].get(window, (low, high))
+            holders[j][window] = (min(a, low), max(b, high))
+    out = []
+    for (before, after), places in around.items():
+        shared = [j for j in range(max(0, reach - len(after)), min(reach, len(before)) + 1) if (x := holders[j][before[:j], after[: reach - j]])[0] != x[1]]
+        for doc, at in places if shared else []:
+            out.append((doc, at - shared[-1], at + gram + reach - shared[0]))
+    return out
+
+
 def shared_amounts(docs: DataFrame, key: str, text: str = "text", span: int = 120, gram: int = 64, pair_docs: int = 64) -> DataFrame:
     """(doc, spans, shared): how many characters of a document lie in spans of `span` or more that another document has, and in how many pieces.
 
     Documents that share nothing have no row. Every shared character lies in a window of `span` characters that has an
-    anchor, so the stretches found around the anchors cover just what is shared. A span repeated within one document only
-    isn't shared; a repeated row is one document.
+    anchor, so the windows around the anchors cover just what is shared. No pairs are made: the occurrences of an anchor,
+    which at most `pair_docs` documents have, are read in turn and their windows looked up; of the spans around other
+    anchors those count that two documents have, by an aggregate with map-side combining. A span repeated within one
+    document only isn't shared; a repeated row is one document.
     """
-    met = _met(docs, key, text, span, gram, pair_docs).where("doc_a <> doc_b")
+    found = _found(docs, key, text, span, gram, pair_docs)
     kind = docs.schema[key].dataType.simpleString()
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: set[tuple] = set()
-            for x, at, ba, aa, bb, ab in zip(*(c.to_pylist() for c in b.columns)):
-                if ba is None:
-                    out.add((x, at, at + span))
-                else:
-                    left, right = _common(ba, bb), _common(aa, ab)
-                    if left + gram + right >= span:
-                        out.add((x, at - left, at + gram + right))
-            if out:
-                doc, start, end = zip(*sorted(out))
-                yield pa.record_batch([pa.array(doc, b.column(0).type), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc", "start", "end"])
-
-    pieces = met.select("doc_a", "at_a", "ba", "aa", "bb", "ab").mapInArrow(stretches, f"doc {kind}, start int, end int")
+    def stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for f in frames:
+            out: list[tuple] = []
+            for h, *row in f.itertuples(index=False):
+                if h != now:
+                    out += shared_stretches(held, gram, span - gram)
+                    now, held = h, []
+                held.append(tuple(row))
+            yield pd.DataFrame(out, columns=["doc", "start", "end"])
+        yield pd.DataFrame(shared_stretches(held, gram, span - gram), columns=["doc", "start", "end"])
+
+    near = found.where("before IS NOT NULL").select("h", "doc", "at", "before", "after").repartition("h").sortWithinPartitions("h")
+    hot = found.where("before IS NULL").select("h", "w", "doc", "at")
+    common = hot.groupBy("h", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("h", "w")
+    pieces = near.mapInPandas(stretches, f"doc {kind}, start int, end int").unionAll(hot.join(common, ["h", "w"], "left_semi").select("doc", F.col("at").alias("start"), F.expr(f"at + {span}").alias("end")))
     longest = pieces.groupBy("doc", "start").agg(F.max("end").alias("end"))
     before = F.max("end").over(W.partitionBy("doc").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     fresh = longest.withColumn("before", before).withColumn("new", F.col("before").isNull() | (F.col("start") > F.col("before")))

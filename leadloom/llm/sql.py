@@ -89,7 +89,46 @@ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 120)) AS pos FROM w SEMI JOIN
 SELECT doc_id, count(*) FILTER (pos - p > 1 OR p IS NULL) AS spans, count(*) AS shared FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM c) GROUP BY doc_id
 """
 
+# Fixed values of p5's SQL, written here again so that it doesn't lean on the operator's.
+_NO_PAGE = (
+    "utm_[^=]*|fbclid|gclid|msclkid|ref|from|_ga|_gl|yclid|twclid|openqrmodal|oat_content|oat__ck|skin|site_code|page_id|igshid|igsh|mc_cid|mc_eid|srsltid|_hsenc|_hsmi|wbraid|gbraid|"
+    "gad_source|gad_campaignid|dclid|ttclid|li_fat_id|_openstat|vero_id|mkt_tok|s_cid|ldtag_cl|phpsessid|jsessionid|sid|sessionid|session_id|aspsessionid|cfid|cftoken"
+)
+
+
+def _page(c: str) -> str:
+    """The page of an address: host, path, other parameters in order."""
+
+    def sub(c: str, *rules: tuple[str, str]) -> str:
+        for a, b in rules:
+            c = f"regexp_replace({c}, '{a}', '{b}', 'g')"
+        return c
+
+    decoded = lambda c: f"coalesce(try(url_decode(replace({c}, '+', '%2B'))), {c})"
+    u = sub(f"coalesce({c}, '')", (r"[\s\p{Z}\p{Cf}\p{Cc}]+", ""), ("(?i)&(amp;)+", "&"), ("#.*$", ""))
+    u = sub(f"lower({u})", (r"^([a-z][a-z0-9+.-]*:)?/+", ""), (r"^[^/?@]*@", ""), (r"^www\.", ""), (r"^([^/?:]+):(80|443)?($|[/?])", r"\1\3"), (r"^([^/?]+)\.($|[/?])", r"\1\2"))
+    path = decoded(f"regexp_extract({u}, '^([^?]*)', 1)")
+    path = sub(f"lower({path})", (";[a-z]*sess(ion)?id=[^/]*", ""), (r"/(\./)+", "/"), ("/{2,}", "/"), (r"/(index|default)\.([sx]?html?|php\d?|aspx?|jsp|cgi)$", ""), ("/+$", ""))
+    given = f"list_filter(regexp_split_to_array(regexp_extract({u}, '[?](.*)$', 1), '[&?]'), lambda p: p <> '' AND NOT regexp_matches(p, '^({_NO_PAGE})(=|$)'))"
+    query = f"array_to_string(list_sort(list_distinct(list_transform({given}, lambda p: lower({decoded('p')})))), '&')"
+    return f"CASE WHEN regexp_matches({path}, '^[^/]+\\.[^/]+') THEN {path} || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END ELSE '' END"
+
+
+#: Rows in order of arrival, one by one: what has been accepted so far is a list of pages.
+_P5 = f"""
+WITH RECURSIVE p AS (SELECT id, ord, kind || '|' || page AS page FROM (
+  SELECT id, -1 AS ord, 'form' AS kind, {_page('form_url')} AS page FROM companies UNION ALL SELECT id, -1, 'home', {_page('hp_url')} FROM companies
+  UNION ALL SELECT id, ord, 'form', {_page('form_url')} FROM company_batches UNION ALL SELECT id, ord, 'home', {_page('hp_url')} FROM company_batches) WHERE page <> ''),
+known AS (SELECT DISTINCT n.id AS id_a, o.id AS id_b FROM p n JOIN p o ON n.page = o.page AND n.ord >= 0 AND o.ord < 0),
+fresh AS (SELECT id, row_number() OVER (ORDER BY ord, id) AS turn, pages FROM (SELECT id, ord, list(page) AS pages FROM p WHERE ord >= 0 AND id NOT IN (SELECT id_a FROM known) GROUP BY id, ord)),
+run AS (SELECT 0::bigint AS turn, ''::varchar AS id, false AS accepted, []::varchar[] AS taken
+  UNION ALL SELECT f.turn, f.id, NOT list_has_any(r.taken, f.pages), CASE WHEN list_has_any(r.taken, f.pages) THEN r.taken ELSE list_concat(r.taken, f.pages) END FROM run r JOIN fresh f ON f.turn = r.turn + 1),
+one AS (SELECT f.turn, f.id, unnest(pages) AS page FROM fresh f), won AS (SELECT one.* FROM one JOIN run ON run.id = one.id AND run.accepted)
+SELECT id_a, id_b FROM known UNION SELECT one.id, won.id FROM one JOIN won ON won.page = one.page AND won.turn < one.turn
+"""
+
 SQL = {
+    "p5_found": _P5,
     "p10_shared": _SHARED,
     "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "p3_found": _P3,
