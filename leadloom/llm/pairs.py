@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Counters of a sketch that says how common a token is; its size doesn't depend on the data.
+COUNTERS = 1 << 16
+
+
+@functools.lru_cache(200_000)
+def hash64(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def sketch(tokens: DataFrame, column: str = "token") -> np.ndarray:
+    """How often each counter's tokens occur: COUNTERS numbers, added up before the shuffle."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in tokens.groupBy(F.pmod(F.col(column), F.lit(COUNTERS)).cast("int").alias("c")).count().toLocalIterator():
+        counts[r["c"]] = r["count"]
+    return counts
+
+
+class Rarity:
+    """What a token weighs: the logarithm of how few of all rows have it."""
+
+    def __init__(self, counts: np.ndarray, total: int):
+        self.counts, self.total = counts, total
+
+    def weight(self, token: int) -> float:
+        return float(np.log1p(self.total / max(1, int(self.counts[token % COUNTERS]))))
+
+    @property
+    def most(self) -> float:
+        """The weight of a token that one row has."""
+        return float(np.log1p(self.total))
+
 
 def hash128(c: Column) -> list[Column]:
     """Two 64-bit hashes of `c` with different seeds."""
