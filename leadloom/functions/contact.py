@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from leadloom.functions import lists
 from leadloom.functions.text import first_given, let, or_else
 
-_MAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
-_PLAIN = r"[a-zA-Z0-9._%+\-]{3,}@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,6}"
-_HIDDEN = r"(?i)([a-zA-Z0-9._%+\-]{2,})\s*(?:\[at\]|\(at\)|【at】|＠|\s+at\s+|@)\s*([a-zA-Z0-9.\-]{2,}\.[a-zA-Z]{2,6})"
-_DASHED = r"0\d{1,4}[\-–—(]\d{1,4}[)–—\-]\d{3,4}"
+#: What a hidden address has after its name: it is looked for first, as it is rarer than what may be a name.
+_HIDDEN_TAIL = r"(?i)(?:\[at\]|\(at\)|【at】|＠|\sat\s|@)\s*[a-zA-Z0-9.\-]{2,}\.[a-zA-Z]{2,6}"
 
 
 def _first(found: Column) -> Column:
@@ -32,21 +30,24 @@ def email(html: Column) -> Column:
     addresses written with [at] and the like if there is no other. [CX-01]"""
     h = F.coalesce(html, F.lit(""))
 
+    none = F.lit("")
+
     def in_text(text: Column) -> Column:
-        plain = _for_contact(F.filter(_all(text, _PLAIN, 0), lambda e: ~e.rlike(r"\.(js|css|png|jpg)$")))
-        parts = F.array(F.regexp_extract(text, _HIDDEN, 1), F.regexp_extract(text, _HIDDEN, 2))
+        plain = _for_contact(F.filter(_all(text, lists.PLAIN_MAIL, 0), lambda e: ~e.rlike(r"\.(js|css|png|jpg)$")))
+        parts = F.array(F.regexp_extract(text, lists.HIDDEN_MAIL, 1), F.regexp_extract(text, lists.HIDDEN_MAIL, 2))
         hidden = let(parts, lambda p: F.when(p[0] != "", F.regexp_replace(F.concat_ws("@", p), r"\s+", "")).otherwise(""))
-        hidden = F.when(F.contains(text, F.lit("@")) | text.rlike(r"(?i)at|＠"), let(hidden, lambda x: F.when(x.rlike(r"\.(js|css|png)$"), "").otherwise(x))).otherwise("")
-        return first_given(plain, hidden)
+        hidden = let(hidden, lambda x: F.when(x.rlike(r"\.(js|css|png)$"), "").otherwise(x))
+        return first_given(F.when(F.contains(text, F.lit("@")), plain).otherwise(none), F.when(text.rlike(_HIDDEN_TAIL), hidden).otherwise(none))
 
-    linked = _for_contact(_all(h, rf"(?i)mailto:({_MAIL})", 1))
-    return first_given(linked, let(F.regexp_replace(h, r"<[^>]+>", " "), in_text))
+    linked = F.when(h.rlike("(?i)mailto:"), _for_contact(_all(h, rf"(?i)mailto:({lists.MAIL})", 1))).otherwise(none)
+    bare = F.when(F.contains(h, F.lit("<")), F.regexp_replace(h, r"<[^>]+>", " ")).otherwise(h)
+    return let(linked, lambda x: F.when(x != "", x).otherwise(let(bare, in_text)))
 
 
 def first_email(html: Column) -> Column:
     """The linked address, else the first in the text unless it is no real sender. [CX-02]"""
     h = F.coalesce(html, F.lit(""))
-    linked, plain = F.regexp_extract(h, rf"(?i)mailto:({_MAIL})", 1), F.regexp_extract(h, rf"(?i)({_MAIL})", 1)
+    linked, plain = F.regexp_extract(h, rf"(?i)mailto:({lists.MAIL})", 1), F.regexp_extract(h, rf"(?i)({lists.MAIL})", 1)
     return or_else(linked, F.when(plain.rlike("(?i)noreply|no-reply|example|test"), "").otherwise(plain))
 
 
@@ -65,7 +66,7 @@ def fax_numbers(html: Column) -> Column:
 
 
 def _fax(h: Column) -> Column:
-    return F.transform(_all(h, rf"(?i)(?:fax|ファックス|ファクシミリ|F\.?)[\s\x{{3000}}:：\-.]*({_DASHED}|0[0-9]{{9,10}})", 1), _digits)
+    return F.transform(_all(h, rf"{lists.FAX_LABEL}({lists.DASHED_PHONE}|0[0-9]{{9,10}})", 1), _digits)
 
 
 def _tidy_phone(c: Column) -> Column:
@@ -77,8 +78,8 @@ def phone(html: Column) -> Column:
 
     It has 10 or 11 digits with a leading 0 and is no fax number, or starts with +81. [CX-03]
     """
-    label = r"(?i)(?:tel|電話|お電話)[\s\x{3000}:：\-.]*"
-    tries = [r"(?i)tel:([\d\-+\s()]{7,20})", rf"{label}({_DASHED})", rf"{label}(0[0-9]{{9,10}})", rf"({_DASHED})", r"(0[0-9]{9,10})", r"(\+81[-\s\d]{8,16})"]
+    label = lists.PHONE_LABEL
+    tries = [r"(?i)tel:([\d\-+\s()]{7,20})", rf"{label}({lists.DASHED_PHONE})", rf"{label}(0[0-9]{{9,10}})", rf"({lists.DASHED_PHONE})", r"(0[0-9]{9,10})", r"(\+81[-\s\d]{8,16})"]
 
     def of(h: Column) -> Column:
         found = _tidy_phone(first_given(*(F.regexp_extract(h, p, 1) for p in tries)))
@@ -101,14 +102,10 @@ def first_phone(html: Column) -> Column:
 def postal_address(html: Column) -> Column:
     """The address in running text: after a postal code, else after a label, else from a prefecture on; 100 characters at most. [CX-06]"""
     tidy = lambda c: F.trim(F.regexp_replace(c, r"[\s\x{3000}]+", " "))
-    coded = r"〒\s*(\d{3}[－\-]\d{4}|\d{7})\s*([^<]{5,80}(?:都|道|府|県)[^<]{0,60})"
-    label = r"(?i)(?:所在地|住所|本社所在地|事務所|拠点|所在地・アクセス|address)[\s\x{3000}]*[：:]\s*([^<]{8,100}(?:都|道|府|県)[^<]{0,60})"
-    start = r"(?:^|>|\s)((?:北海道|東京都|大阪府|京都府|[一-龥]{2,3}県)[^<]{5,60}(?:市|区|町|村|丁目|番地|番|号)[^<]{0,40})"
-
     def of(h: Column) -> Column:
-        code = F.regexp_extract(h, coded, 1)
-        with_code = F.when(F.contains(h, F.lit("〒")), let(code, lambda c: F.when(c != "", F.concat(F.lit("〒"), F.replace(c, F.lit("－"), F.lit("-")), F.lit(" "), tidy(F.regexp_extract(h, coded, 2)))).otherwise("")))
-        return F.substring(first_given(F.coalesce(with_code, F.lit("")), tidy(F.regexp_extract(h, label, 1)), tidy(F.regexp_extract(h, start, 1))), 1, 100)
+        code = F.regexp_extract(h, lists.CODED_ADDRESS, 1)
+        with_code = F.when(F.contains(h, F.lit("〒")), let(code, lambda c: F.when(c != "", F.concat(F.lit("〒"), F.replace(c, F.lit("－"), F.lit("-")), F.lit(" "), tidy(F.regexp_extract(h, lists.CODED_ADDRESS, 2)))).otherwise("")))
+        return F.substring(first_given(F.coalesce(with_code, F.lit("")), tidy(F.regexp_extract(h, lists.LABELLED_ADDRESS, 1)), tidy(F.regexp_extract(h, lists.BARE_ADDRESS, 1))), 1, 100)
 
     return let(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>", " "), r"\n+", " "), of)
 

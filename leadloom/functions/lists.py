@@ -121,3 +121,55 @@ LOCALISED = {
     "会社名": "name", "HP URL": "hp_url", "フォームURL": "form_url", "電話番号": "phone", "メールアドレス": "email", "住所": "address", "業種": "industry", "エリア": "area",
     "フォーム種別": "form_type", "収集日時": "collected_at", "ステータス": "status", "備考": "notes", "プロジェクトID": "project_id", "実行ID": "run_id",
 }
+
+# Paths that are probed where a page leads to no form, in order.
+PROBES = [
+    "/contact", "/inquiry", "/contact/", "/inquiry/",
+    "/otoiawase", "/toiawase", "/otoiawase/", "/toiawase/",
+    "/mailform", "/mailform/", "/form", "/renraku", "/goiken",
+    "/%E3%81%8A%E5%95%8F%E3%81%84%E5%90%88%E3%82%8F%E3%81%9B", "/%E5%95%8F%E3%81%84%E5%90%88%E3%82%8F%E3%81%9B", "/%E3%81%8A%E5%95%8F%E5%90%88%E3%81%9B",
+    "/%E3%81%94%E7%9B%B8%E8%AB%87", "/%E3%81%94%E9%80%A3%E7%B5%A1",
+    "/otoiawase-form", "/toiawase-form", "/form/otoiawase", "/form/toiawase",
+    "/contact.html", "/inquiry.html", "/contact.php", "/inquiry.php", "/contact/index.html", "/inquiry/index.html", "/contact/index.php", "/inquiry/index.php",
+    "/mailform/index.html", "/mailform/index.php",
+    "/mail.php", "/send.php", "/post.php", "/form.html", "/form.php",
+    "/cgi-bin/contact.cgi", "/cgi-bin/inquiry.cgi", "/cgi-bin/form.cgi", "/cgi-bin/mailform.cgi", "/cgi-bin/contact.pl", "/cgi-bin/form.pl", "/cgi-bin/mail.cgi", "/cgi-bin/post.cgi",
+    "/contact-us", "/contact-us/", "/contact_us", "/contactus", "/get-in-touch", "/send-message", "/contact-form", "/contact-form/",
+    "/inquiry-form", "/inquiry_form", "/contactform", "/message", "/message/", "/ask", "/consultation", "/consultation/", "/free-consultation", "/free-consultation/",
+    "/soudan", "/soudan/", "/meiru", "/meiru/",
+    "/pages/contact", "/pages/inquiry", "/pages/contact-us", "/pages/message", "/pages/form", "/pages/mailform",
+    "/cgi-bin/toiawase.cgi", "/cgi-bin/otoiawase.cgi", "/cgi-bin/contactus.cgi", "/cgi-bin/mailsend.cgi", "/cgi/contact.cgi", "/cgi/inquiry.cgi",
+    "/contact-page", "/inquiry-page", "/contact-1", "/contact-2",
+    "/contact.asp", "/inquiry.asp", "/contact.aspx", "/inquiry.aspx", "/form.asp", "/form.aspx", "/mail.asp", "/mail.aspx",
+    "/otoiawase.html", "/toiawase.html", "/otoiawase.php", "/toiawase.php",
+    "/email", "/write", "/reach-us", "/reach",
+    "/contact/form", "/inquiry/form", "/form/contact", "/form/inquiry", "/support/contact", "/support/inquiry", "/help/contact",
+    "/online-inquiry", "/online-contact", "/web-inquiry", "/web-contact", "/online_inquiry", "/online_contact", "/web_inquiry", "/web_contact",
+    "/ja/contact", "/ja/inquiry", "/jp/contact", "/jp/inquiry", "/en/contact", "/en/inquiry",
+    "/renraku.html", "/goiken.html",
+]
+# Paths of pages that come after a form; titles and first words of pages that say there is no such page.
+SENT_PATH = (
+    r"/(thanks?|thankyou|thank[-_]you|complete[d]?|completion|sent|finish(?:ed)?|done|success|confirm(?:ation)?|entry[-_]?complete|sousin[-_]?kanryo|kanryo|okini[-_]nyuuri)(?:/|\.|\?|$)"
+)
+GONE_TITLE = (
+    r"(?iu)\b404\b|not.?found|ページが見つかりません|お探しのページ.*見つかりません|ページが存在しません|エラーが発生|お探しのページ|ご指定.*ページ.*存在|page.?not.?found|error.?404|"
+    r"アクセスエラー|お探しのページはございません|存在しないページ|削除されたページ"
+)
+GONE_TEXT = (
+    r"(?iu)お探しのページ.*見つかり|このページ.*存在しません|ページが見つかりません|存在しないページ|page not found|404 error|ご指定のページ.*見つかり|お探しのページは.*見つかりません|"
+    r"お探しのページはございません|アクセスしようとしたページは.*存在しません|削除.*移動.*変更.*可能性|URLが間違っている可能性"
+)
+# Patterns of e-mail addresses, phone and fax numbers and postal addresses in pages.
+MAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+PLAIN_MAIL = r"[a-zA-Z0-9._%+\-]{3,}@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,6}"
+HIDDEN_MAIL = r"(?i)([a-zA-Z0-9._%+\-]{2,})\s*(?:\[at\]|\(at\)|【at】|＠|\s+at\s+|@)\s*([a-zA-Z0-9.\-]{2,}\.[a-zA-Z]{2,6})"
+DASHED_PHONE = r"0\d{1,4}[\-–—(]\d{1,4}[)–—\-]\d{3,4}"
+FAX_LABEL = r"(?i)(?:fax|ファックス|ファクシミリ|F\.?)[\s\x{3000}:：\-.]*"
+PHONE_LABEL = r"(?i)(?:tel|電話|お電話)[\s\x{3000}:：\-.]*"
+CODED_ADDRESS = r"〒\s*(\d{3}[－\-]\d{4}|\d{7})\s*([^<]{5,80}(?:都|道|府|県)[^<]{0,60})"
+LABELLED_ADDRESS = r"(?i)(?:所在地|住所|本社所在地|事務所|拠点|所在地・アクセス|address)[\s\x{3000}]*[：:]\s*([^<]{8,100}(?:都|道|府|県)[^<]{0,60})"
+BARE_ADDRESS = (
+    r"(?:^|>|\s)((?:北海道|東京都|大阪府|京都府|(?:青森|岩手|宮城|秋田|山形|福島|茨城|栃木|群馬|埼玉|千葉|神奈川|新潟|富山|石川|福井|山梨|長野|岐阜|静岡|愛知|三重|滋賀|兵庫|奈良|和歌山|"
+    r"鳥取|島根|岡山|広島|山口|徳島|香川|愛媛|高知|福岡|佐賀|長崎|熊本|大分|宮崎|鹿児島|沖縄)県)[^<]{5,60}(?:市|区|町|村|丁目|番地|番|号)[^<]{0,40})"
+)

@@ -9,7 +9,7 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urldefrag, urljoin
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import html as H
 from leadloom.functions import contact, lists, urls
-from leadloom.functions.text import or_else
+from leadloom.functions.text import let, or_else
+from leadloom.sources.tables import cut
 
 _GO = re.compile(r"""(?:window\.)?location(?:\.href)?\s*=\s*["']([^"']+)""")
 _LINK = "struct<pos:int,kind:string,url:string,text:string,in_footer:boolean,in_nav:boolean>"
-_FACTS = f"links array<{_LINK}>, embeds array<struct<kind:string,url:string>>, forms array<string>, ld_email string, ld_phone string, ld_address string"
+_FACTS = f"links array<{_LINK}>, embeds array<struct<kind:string,url:string>>, forms array<string>, ld_email string, ld_phone string, ld_address string, base string"
 
 
 class _Reader(HTMLParser):
@@ -37,7 +38,7 @@ class _Reader(HTMLParser):
         self.open: dict | None = None
         self.inside = {"footer": 0, "nav": 0}
         self.ld: list[str] | None = None
-        self.base = ""
+        self.base = self.canonical = ""
         self.lines = [0]
 
     def read(self, html: str) -> None:
@@ -61,6 +62,8 @@ class _Reader(HTMLParser):
             self.open["notes"].append(a["alt"])
         elif tag == "base" and a.get("href") and not self.base:
             self.base = a["href"]
+        elif tag == "link" and a.get("rel", "").lower() == "canonical" and a.get("href") and not self.canonical:
+            self.canonical = a["href"]
         elif tag == "form":
             line, col = self.getpos()
             self.starts.append(self.lines[line - 1] + col)
@@ -101,6 +104,14 @@ def resolve(base: str, link: str) -> str:
         return ""
 
 
+def origin(url: str) -> tuple[str, str]:
+    """Scheme and authority of an address, '' where it can't be read. [UR-08]"""
+    try:
+        return urlsplit(url)[:2]
+    except ValueError:
+        return "", ""
+
+
 def _structured(blocks: list[str]) -> dict[str, str]:
     """The first e-mail, phone and address of the page's JSON-LD; a malformed block is passed over. [CX-07]"""
     out = {"ld_email": "", "ld_phone": "", "ld_address": ""}
@@ -142,28 +153,50 @@ def read_page(html: str | None, url: str | None, before: int = 800, after: int =
         reader.finish()
     except (AssertionError, ValueError):  # the parser gives up on some broken declarations; what was read stays
         pass
-    base = resolve(url, reader.base) if reader.base else url
+    base = resolve(url, reader.canonical) if reader.canonical else url
+    base = base if base and origin(base) == origin(url) else url  # another origin's canonical address is a mirror's
+    base = resolve(base, reader.base) or base if reader.base else base
     for x in (*reader.links, *reader.embeds):
         x["url"] = resolve(base, x["url"])
     forms = [html[max(0, at - before) : at + after] for at in reader.starts]
-    return {"links": [x for x in reader.links if x["url"]], "embeds": [x for x in reader.embeds if x["url"]], "forms": forms, **_structured(reader.blocks)}
+    return {"links": [x for x in reader.links if x["url"]], "embeds": [x for x in reader.embeds if x["url"]], "forms": forms, **_structured(reader.blocks), "base": base}
 
 
-def page_facts(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, html and the facts of each page). [TX-08..10, UR-07, UR-08, CX-07]"""
+def page_facts(pages: DataFrame, key: str, url: str = "url", html: str = "html", keep_html: bool = True) -> DataFrame:
+    """(key, url, html and the facts of each page); keep_html: whether the text comes out again. [TX-08..10, UR-07, UR-08, CX-07]
+
+    `base` is what relative links start from: the address, or a canonical one of the same origin, and what a base tag makes of it.
+    """
     kind = pages.schema[key].dataType.simpleString()
-    names = [p.split(" ")[0] for p in ("links", "embeds", "forms", "ld_email", "ld_phone", "ld_address")]
+    names = [p.split(" ")[0] for p in ("links", "embeds", "forms", "ld_email", "ld_phone", "ld_address", "base")]
     types = [
         pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("url", pa.string()), ("text", pa.string()), ("in_footer", pa.bool_()), ("in_nav", pa.bool_())])),
-        pa.list_(pa.struct([("kind", pa.string()), ("url", pa.string())])), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(),
+        pa.list_(pa.struct([("kind", pa.string()), ("url", pa.string())])), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string(),
     ]
+    kept = ["url", "html"] if keep_html else ["url"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             facts = [read_page(h, u) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.record_batch([*b.columns, *(pa.array([f[n] for f in facts], t) for n, t in zip(names, types))], names=[key, "url", "html", *names])
+            yield pa.record_batch([*b.columns[: 1 + len(kept)], *(pa.array([f[n] for f in facts], t) for n, t in zip(names, types))], names=[key, *kept, *names])
+
+    return pages.select(key, F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, f"`{key}` {kind}, " + "".join(f"{c} string, " for c in kept) + _FACTS)
+
+
+_LD_BLOCK = re.compile(r"""<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script""", re.I | re.S)
+
+
+def structured_facts(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(the columns, ld_email, ld_phone, ld_address): what the JSON-LD of each page says, for those who need no other facts. [CX-07]"""
+    names = ["ld_email", "ld_phone", "ld_address"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(html)).to_pylist()
+            found = [_structured(_LD_BLOCK.findall(t)) if t and "ld+json" in t.lower() else {} for t in texts]
+            yield pa.record_batch([*b.columns, *(pa.array([f.get(n, "") for f in found], pa.string()) for n in names)], names=[*b.schema.names, *names])
 
-    return pages.select(key, F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, f"`{key}` {kind}, url string, html string, {_FACTS}")
+    return pages.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", " + ", ".join(f"{n} string" for n in names))
 
 
 def contacts(facts: DataFrame, key: str, *also: str) -> DataFrame:
@@ -175,38 +208,45 @@ def contacts(facts: DataFrame, key: str, *also: str) -> DataFrame:
 
 def link_rows(facts: DataFrame, key: str) -> DataFrame:
     """One row per link of each page, with its host. [FL-19]"""
-    rows = facts.select(key, F.col("url").alias("page_url"), F.explode("links").alias("l")).select(key, "page_url", "l.*")
+    rows = facts.select(key, F.col("base").alias("page_url"), F.explode("links").alias("l")).select(key, "page_url", "l.*")
     return rows.withColumn("host", urls.host_key(F.col("url"))).where("host <> ''")
 
 
 def scored_links(links: DataFrame) -> DataFrame:
     """The links that may lead to a form, with their score of 8 or more. [CL-01, CL-02, FL-19..22, UR-09, UR-10, UR-13]"""
-    text, url = F.lower("text"), F.lower("url")
-    internal = urls.is_internal(F.col("url"), F.col("page_url"))
-    external_form = ~internal & urls.holds_host(F.col("host"), lists.FORM_HOSTS)
-    booking = urls.holds_any(text, lists.BOOKING_WORDS) | urls.holds_any(url, lists.BOOKING_WORDS)
-    inquiry = urls.holds_any(text, [*lists.STRONG_WORDS, *lists.USUAL_WORDS[:10]])
-    reads = F.coalesce(urls.decoded(url), F.lit(""))
-    word = F.when(urls.holds_any(text, lists.STRONG_WORDS), 12).when(urls.holds_any(text, lists.USUAL_WORDS), 10).when(urls.holds_any(text, lists.LOOSE_WORDS), 6).otherwise(0)
     add = lambda c, n: F.when(c, n).otherwise(0)
-    score = (
-        word
-        + add(url.rlike(lists.CONTACT_PATH) | url.rlike(lists.CONTACT_CODED), 8)
-        + add(urls.holds_any(reads, lists.JAPANESE_PATH_WORDS), 8)
-        + add(urls.holds_any(url, lists.JAPANESE_PATH_WORDS[:4]), 8)
-        + add(url.rlike(r"/cgi(-bin)?/.*form"), 12)
-        + add(url.rlike(r"/(mailform|form[_-]?mail|contact[_-]?form|inquiry|toiawase)\.(?:cgi|pl|php|aspx?)(?:\?|$)"), 10)
-        + add(~internal, 15)
-        + add(internal & urls.contact_subdomain(F.col("url")), 8)
-        + add(F.col("in_footer"), 4)
-        + add(F.col("in_nav"), 2)
-    )
-    clicked = F.col("kind") == "onclick"
-    speaks = url.rlike(lists.CONTACT_PATH) | urls.holds_any(text, [*lists.STRONG_WORDS, *lists.USUAL_WORDS])
-    allowed = ~urls.on_hosts(F.col("host"), lists.REJECTED_HOSTS) & (internal | external_form)
-    wanted = ~(urls.holds_host(F.col("host"), lists.BOOKING_HOSTS) | (booking & ~inquiry)) & ~url.rlike(lists.OTHER_PATH) & ~url.rlike(lists.DONE_PATH)
-    scored = links.withColumn("score", F.when(clicked, F.lit(10)).otherwise(score).cast("int"))
-    return scored.where((clicked & speaks & (internal | external_form)) | (~clicked & allowed & wanted & (F.col("score") >= 8)))
+
+    def judged(x: Column) -> Column:
+        """The score of a link that may be taken, null of another. x: what its tests share, computed once."""
+        text, url, host, internal = x["text"], x["url"], x["host"], x["internal"]
+        strong, usual = x["strong"], x["usual"]
+        path = url.rlike(lists.CONTACT_PATH)
+        booking = urls.holds_any(text, lists.BOOKING_WORDS) | urls.holds_any(url, lists.BOOKING_WORDS)
+        inquiry = strong | urls.holds_any(text, lists.USUAL_WORDS[:10])
+        word = F.when(strong, 12).when(usual, 10).when(urls.holds_any(text, lists.LOOSE_WORDS), 6).otherwise(0)
+        score = (
+            word
+            + add(path | url.rlike(lists.CONTACT_CODED), 8)
+            + add(urls.holds_any(x["reads"], lists.JAPANESE_PATH_WORDS), 8)
+            + add(urls.holds_any(url, lists.JAPANESE_PATH_WORDS[:4]), 8)
+            + add(url.rlike(r"/cgi(-bin)?/.*form"), 12)
+            + add(url.rlike(r"/(mailform|form[_-]?mail|contact[_-]?form|inquiry|toiawase)\.(?:cgi|pl|php|aspx?)(?:\?|$)"), 10)
+            + add(~internal, 15)
+            + add(internal & urls.contact_subdomain(url), 8)
+            + add(F.col("in_footer"), 4)
+            + add(F.col("in_nav"), 2)
+        ).cast("int")
+        reachable = internal | urls.holds_host(host, lists.FORM_HOSTS)
+        wanted = ~(urls.holds_host(host, lists.BOOKING_HOSTS) | (booking & ~inquiry)) & ~url.rlike(lists.OTHER_PATH) & ~url.rlike(lists.DONE_PATH)
+        linked = let(score, lambda n: F.when((n >= 8) & ~urls.on_hosts(host, lists.REJECTED_HOSTS) & wanted, n))
+        return F.when(reachable, F.when(F.col("kind") == "onclick", F.when(path | strong | usual, 10)).otherwise(linked))
+
+    text, url = F.lower("text"), F.lower("url")
+    shared = F.struct(
+        text.alias("text"), url.alias("url"), F.col("host").alias("host"), urls.is_internal(F.col("url"), F.col("page_url")).alias("internal"), F.coalesce(urls.decoded(url), F.lit("")).alias("reads"),
+        urls.holds_any(text, lists.STRONG_WORDS).alias("strong"), urls.holds_any(text, lists.USUAL_WORDS).alias("usual"),
+    )
+    return links.withColumn("score", let(shared, judged)).where("score IS NOT NULL")
 
 
 def best_links(scored: DataFrame, key: str, most: int = 3) -> DataFrame:
@@ -351,7 +391,7 @@ def verified_targets(targets: DataFrame, fetched: DataFrame, key: str, base: str
     moved = F.coalesce(F.col("final_url") != F.col("url"), F.lit(False))
     service = urls.on_hosts(urls.host_key(F.col("url")), lists.FORM_HOSTS) | (moved & urls.on_hosts(urls.host_key(final), lists.FORM_HOSTS))
     refused = (F.col("status_code") >= 400) | (moved & urls.on_hosts(urls.host_key(final), lists.REDIRECT_HOSTS)) | (moved & urls.same_page(final, F.col(base)))
-    done = F.lower(urls.path(final)).rlike(r"/(thanks?|thankyou|thank[-_]you|completed?|completion|sent|finish(?:ed)?|done|success|confirm(?:ation)?|entry[-_]?complete|kanryo)(?:/|\.|\?|$)")
+    done = F.lower(urls.path(final)).rlike(lists.SENT_PATH)
     size = F.length(H.short_text(F.col("page"), 1000))
     shell = F.col("is_shell") & F.lower("url").rlike(lists.CONTACT_PATH) & (size >= 20) & (size < 800)
     valid = F.when(service, True).when(F.coalesce(refused | done, F.lit(False)) | (F.coalesce("page", F.lit("")) == ""), False).otherwise(is_form_page(F.col("page"), F.col("windows")) | shell)
@@ -364,22 +404,84 @@ def first_valid(verified: DataFrame, key: str) -> DataFrame:
     return best.select(key, urls.without_tracking(F.col("u")).alias("form_url"))
 
 
+#: Ranks of the stages of `found_forms`; links and probes count on from theirs.
+_STAGES = {"primary": 0, "fallback": 1, "inline": 100, "probe": 200}
+
+
+def found_forms(homes: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
+    """(key, form_url, stage): the form of each site, by the stages a crawler goes through. [CL-13, CL-23]
+
+    homes: key, url, final_url, html (null or '' where the page couldn't be fetched). fetched: url, final_url, status_code,
+    html of the pages that links and probes lead to; a page that isn't there counts as an error.
+
+    1. 'redirect': the home page was redirected to a booking service. 2. 'line': the link opens a chat. 3. 'primary': the
+    best link, or the page's own form, is verified; 4. 'fallback': the other links in order; 5. 'inline': the page's own
+    form. 6. 'probe': paths sites often have, in order, until five in a row aren't pages of their own. 7. 'booking': the
+    address itself is a booking service's. Each stage sees only the sites that the ones before left; sites without a form
+    have no row.
+    """
+    homes = homes.withColumns({"final_url": F.coalesce("final_url", "url"), "html": F.coalesce("html", F.lit(""))})
+    early = booking_redirect(homes.where("html <> ''"), key)
+    there = homes.where("html <> ''").join(early.select(key), key, "left_anti")
+    facts = cut(page_facts(there, key, "final_url").withColumn("is_shell", H.rendered_by_script(F.col("html"))))
+    best = cut(best_links(scored_links(link_rows(facts.select(key, "base", "links"), key)), key))
+    forms = form_url(facts, best, key).where("form_url IS NOT NULL").select(key, "form_url")
+    line = forms.where(F.col("form_url").rlike(lists.LINE_ANYWHERE)).select(key, "form_url", F.lit("line").alias("stage"))
+    own = facts.select(key, "base", "is_shell", F.col("url").alias("home"), is_form_page(F.col("html"), F.col("forms")).alias("own_valid"), has_inline_form(F.col("html")).alias("inline"))
+    primary = forms.join(line.select(key), key, "left_anti").join(own, key)
+    at_home = F.col("form_url").isin(F.col("base"), F.col("home"))
+    by_itself = primary.where(at_home & F.col("own_valid")).select(key, F.lit(_STAGES["primary"]).alias("rank"), F.col("form_url").alias("final_url"))
+    first = primary.where(~at_home).select(key, F.lit(_STAGES["primary"]).alias("rank"), F.col("form_url").alias("url"), F.col("base").alias("base_url"), "is_shell")
+    others = best.join(primary.select(key, "form_url", "base", "is_shell"), key).where("url <> form_url").select(key, (F.lit(_STAGES["fallback"]) + F.col("rank")).alias("rank"), "url", F.col("base").alias("base_url"), "is_shell")
+    read = page_facts(fetched.withColumn("_page", F.col("url")), "_page").select("url", "html", "forms")
+    pages = cut(read.join(fetched.select("url", "final_url", "status_code"), "url"))
+    verified = verified_targets(first.unionByName(others), pages, key).where("valid").select(key, "rank", "final_url")
+    inline = primary.where("inline AND own_valid").select(key, F.lit(_STAGES["inline"]).alias("rank"), F.col("base").alias("final_url"))
+    won = verified.unionAll(by_itself).unionAll(inline).groupBy(key).agg(F.min(F.struct("rank", "final_url")).alias("w"))
+    stage = F.when(F.col("w.rank") == _STAGES["primary"], "primary").when(F.col("w.rank") < _STAGES["inline"], "fallback").otherwise("inline")
+    settled = cut(won.select(key, urls.without_tracking(F.col("w.final_url")).alias("form_url"), stage.alias("stage")).unionAll(line))
+    probed = probed_forms(facts.join(settled.select(key), key, "left_anti"), best, pages, key)
+    found = cut(settled.unionAll(probed).unionAll(early.select(key, "form_url", F.lit("redirect").alias("stage"))))
+    left = there.join(found.select(key), key, "left_anti")
+    booking = booking_fallback(left.select(key, "url", F.lit("").alias("form_url")), "url", "form_url").where("by_booking").select(key, "form_url", F.lit("booking").alias("stage"))
+    return found.unionAll(booking)
+
+
+def probed_forms(facts: DataFrame, best: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """(key, form_url, stage): the first probed path of each site that is a form page. [CL-14, CL-15, WN-06, SL-08]"""
+    tried = best.groupBy(key).agg(F.collect_set(urls.tried_path(F.col("url"))).alias("tried"))
+    sites = facts.withColumn("builder", H.builder(F.col("html"))).join(tried, key, "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<string>")))
+    plan = probe_plan(sites, key, "builder", "tried")
+    root = F.regexp_extract("base", r"^([^:/?#]+://[^/?#]+)", 1)
+    asked = plan.join(facts.select(key, "base", root.alias("root"), F.col("html").alias("home_html"), "is_shell"), key).withColumn("asked", F.concat("root", "path"))
+    got = asked.join(pages.select(F.col("url").alias("asked"), "final_url", "status_code", "html", "forms"), "asked", "left").withColumn("final", F.coalesce("final_url", "asked"))
+    why = soft_404({"url": F.col("base"), "html": F.col("home_html")}, {"url": F.col("final"), "html": F.col("html"), "status_code": F.col("status_code"), "asked": F.col("asked")}, F.col("is_shell"))
+    judged = before_abort(got.withColumn("why", why), key, "ord", F.col("why") != "", counts=F.col("why") != "neutral").where("why = ''")
+    shell = F.col("is_shell") & F.lower("path").rlike(lists.CONTACT_PATH) & (F.length(H.short_text(F.col("html"), 1000)) < 800)
+    good = judged.where(is_form_page(F.col("html"), F.col("forms")) | shell)
+    return good.groupBy(key).agg(F.min_by("final", "ord").alias("u")).select(key, urls.without_tracking(F.col("u")).alias("form_url"), F.lit("probe").alias("stage"))
+
+
+def near_length(a: Column, b: Column) -> Column:
+    """Whether two texts of more than 200 characters differ in length by less than 3 %. [MD-06]"""
+    la, lb = F.length(a), F.length(b)
+    return F.coalesce((la > 200) & (lb > 200) & (F.abs(la - lb) / F.greatest(la, lb) < 0.03), F.lit(False))
+
+
 def soft_404(home: dict[str, Column], probe: dict[str, Column], shell: Column) -> Column:
     """Why a probed page isn't one of its own: 'error', 'home', 'host', 'title', 'length', 'short', 'same' or 'text'; '' if it is. [CL-14, MD-06]
 
     home, probe: url (final), html; probe also status_code and asked (the address probed). A server error is 'neutral'.
     """
     strip = lambda h: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(h, F.lit("")), r"<[^>]+>", ""), r"[\s\x{3000}]+", " "))
-    gone = r"\b404\b|not.?found|ページが見つかりません|お探しのページ.*見つかりません|ページが存在しません|エラーが発生"
     a, b, t = H.title(home["html"]), H.title(probe["html"]), strip(probe["html"])
-    la, lb = F.length(home["html"]), F.length(probe["html"])
     empty = F.coalesce(probe["html"], F.lit("")) == ""
     return (
         F.when(F.coalesce(probe["status_code"] >= 500, F.lit(False)), "neutral").when(empty | F.coalesce(probe["status_code"] >= 400, F.lit(False)), "error")
         .when(urls.same_page(probe["url"], home["url"]), "home").when((probe["url"] != probe["asked"]) & urls.on_hosts(urls.host_key(probe["url"]), lists.REDIRECT_HOSTS), "host")
-        .when(((a != "") & (F.lower(a) == F.lower(b))) | F.lower(b).rlike(gone), "title").when((la > 200) & (lb > 200) & (F.abs(la - lb) / F.greatest(la, lb) < 0.03), "length")
+        .when(((a != "") & (F.lower(a) == F.lower(b))) | b.rlike(lists.GONE_TITLE), "title").when(near_length(home["html"], probe["html"]), "length")
         .when(F.length(t) < F.when(shell, 10).otherwise(300), "short").when((F.length(F.substring(strip(home["html"]), 1, 400)) > 100) & (F.substring(t, 1, 400) == F.substring(strip(home["html"]), 1, 400)), "same")
-        .when(F.substring(t, 1, 600).rlike(r"(?iu)お探しのページ.*見つかり|このページ.*存在しません|ページが見つかりません|存在しないページ|page not found|404 error|ご指定のページ"), "text").otherwise("")
+        .when(F.substring(t, 1, 600).rlike(lists.GONE_TEXT), "text").otherwise("")
     )
 
 
@@ -395,23 +497,11 @@ def before_abort(probes: DataFrame, key: str, order: str, bad: Column, most: int
     return over.where("_over = 0").drop("_bad", "_good", "_island", "_run", "_over")
 
 
-# Paths probed first, in order; a site tries at most 28.
-PROBES = [
-    "/contact", "/inquiry", "/contact/", "/inquiry/", "/otoiawase", "/toiawase", "/otoiawase/", "/toiawase/", "/mailform", "/mailform/", "/form", "/renraku", "/goiken",
-    "/%E3%81%8A%E5%95%8F%E3%81%84%E5%90%88%E3%82%8F%E3%81%9B", "/%E5%95%8F%E3%81%84%E5%90%88%E3%82%8F%E3%81%9B", "/%E3%81%8A%E5%95%8F%E5%90%88%E3%81%9B",
-    "/%E3%81%94%E7%9B%B8%E8%AB%87", "/%E3%81%94%E9%80%A3%E7%B5%A1", "/otoiawase-form", "/toiawase-form", "/form/otoiawase", "/form/toiawase", "/contact.html", "/inquiry.html",
-    "/contact.php", "/inquiry.php", "/contact/index.html", "/inquiry/index.html", "/contact/index.php", "/inquiry/index.php", "/mailform/index.html", "/mailform/index.php",
-    "/mail.php", "/send.php", "/post.php", "/form.html", "/form.php", "/cgi-bin/contact.cgi", "/cgi-bin/inquiry.cgi", "/cgi-bin/form.cgi",
-    "/contact-us", "/contact-us/", "/contact_us", "/contactus", "/get-in-touch", "/send-message", "/contact-form", "/contact-form/",
-    "/pages/contact", "/pages/inquiry", "/pages/contact-us", "/pages/message", "/pages/form", "/pages/mailform",
-]
-
-
 def probe_plan(sites: DataFrame, key: str, builder: str, tried: str, most: int = 28) -> DataFrame:
     """(key, ord, path): the paths to probe, without those the site's builder can't have and those tried already. [CL-15, SL-08, UR-15]"""
     shops = F.col(builder).isin("shopify", "stores")
     clean = F.col(builder).isin("jimdo", "wix", "squarespace", "studio")
-    rows = sites.select(key, builder, tried, F.posexplode(F.array(*map(F.lit, PROBES))).alias("o", "path"))
+    rows = sites.select(key, builder, tried, F.posexplode(F.array(*map(F.lit, lists.PROBES))).alias("o", "path"))
     pages_path = F.startswith("path", F.lit("/pages/"))
     plain = F.regexp_replace(F.lower("path"), "/$", "")
     file = F.col("path").rlike(r"(?i)\.(cgi|pl|php|html?|aspx?)(\?|$)|/cgi(-bin)?/")

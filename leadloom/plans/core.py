@@ -347,7 +347,7 @@ def page_texts(spark, d):
 
 def page_contacts(spark, d):
     h = F.col("html")
-    facts = _facts(spark, d).select("*", contact.first_email(h).alias("first_email"), contact.first_phone(h).alias("first_phone"), F.size(contact.fax_numbers(h)).cast("bigint").alias("faxes"))
+    facts = pages.structured_facts(_companies(spark, d).select("id", _html().alias("html")), "id").select("*", contact.first_email(h).alias("first_email"), contact.first_phone(h).alias("first_phone"), F.size(contact.fax_numbers(h)).cast("bigint").alias("faxes"))
     return pages.contacts(facts, "id", "first_email", "first_phone", "faxes")
 
 
@@ -366,20 +366,19 @@ def _structured_html() -> Column:
 
 
 def structured_contacts(spark, d):
-    shown = _companies(spark, d).select("id", F.coalesce("hp_url", F.lit("")).alias("url"), _structured_html().alias("html"))
-    return pages.contacts(pages.page_facts(shown, "id"), "id")
+    return pages.contacts(pages.structured_facts(_companies(spark, d).select("id", _structured_html().alias("html")), "id"), "id")
 
 
-def _facts(spark, d):
-    return pages.page_facts(_companies(spark, d).select("id", F.coalesce("hp_url", F.lit("")).alias("url"), _html().alias("html")), "id")
+def _facts(spark, d, keep_html=True):
+    return pages.page_facts(_companies(spark, d).select("id", F.coalesce("hp_url", F.lit("")).alias("url"), _html().alias("html")), "id", keep_html=keep_html)
 
 
 def page_links(spark, d):
-    return pages.link_rows(_facts(spark, d), "id").select("id", "pos", "url", "text", "in_footer", "in_nav", "host")
+    return pages.link_rows(_facts(spark, d, False), "id").select("id", "pos", "url", "text", "in_footer", "in_nav", "host")
 
 
 def best_links(spark, d):
-    return pages.best_links(pages.scored_links(pages.link_rows(_facts(spark, d), "id")), "id")
+    return pages.best_links(pages.scored_links(pages.link_rows(_facts(spark, d, False), "id")), "id")
 
 
 def page_forms(spark, d):

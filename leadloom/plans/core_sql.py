@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from leadloom.functions import lists
-from leadloom.operators.pages import PROBES
 
 
 def _q(text: str) -> str:
@@ -194,7 +193,7 @@ def _address(h: str) -> str:
     tidy = lambda c: f"trim({_re(c, (r'[\s\x{3000}\x{0B}]+', ' '))}, ' ')"
     coded = r"〒\s*(\d{3}[－\-]\d{4}|\d{7})\s*([^<]{5,80}(?:都|道|府|県)[^<]{0,60})"
     labelled = _x(b, r"(?i)(?:所在地|住所|本社所在地|事務所|拠点|所在地・アクセス|address)[\s\x{3000}]*[：:]\s*([^<]{8,100}(?:都|道|府|県)[^<]{0,60})")
-    bare = _x(b, r"(?:^|>|\s)((?:北海道|東京都|大阪府|京都府|[一-龥]{2,3}県)[^<]{5,60}(?:市|区|町|村|丁目|番地|番|号)[^<]{0,40})")
+    bare = _x(b, r"(?:^|>|\s)((?:北海道|東京都|大阪府|京都府|(?:青森|岩手|宮城|秋田|山形|福島|茨城|栃木|群馬|埼玉|千葉|神奈川|新潟|富山|石川|福井|山梨|長野|岐阜|静岡|愛知|三重|滋賀|兵庫|奈良|和歌山|鳥取|島根|岡山|広島|山口|徳島|香川|愛媛|高知|福岡|佐賀|長崎|熊本|大分|宮崎|鹿児島|沖縄)県)[^<]{5,60}(?:市|区|町|村|丁目|番地|番|号)[^<]{0,40})")
     code = _x(b, coded, 1)
     return f"(CASE WHEN {code} <> '' THEN '〒' || replace({code}, '－', '-') || ' ' || {tidy(_x(b, coded, 2))} WHEN {tidy(labelled)} <> '' THEN {tidy(labelled)} ELSE {tidy(bare)} END)[1:100]"
 
@@ -237,7 +236,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY ord, id) AS k FROM s
 plan AS (SELECT id, state AS decision, '' AS target_id FROM s WHERE state <> 'candidate'
   UNION ALL SELECT k.id, CASE WHEN t.target_id IS NULL THEN 'duplicate' ELSE 'upgrade' END, coalesce(t.target_id, '') FROM k LEFT JOIN t ON t.h = k.h AND t.k = k.k)
 """
-_PROBES = f"SELECT unnest({_list(PROBES)}) AS path, unnest(range({len(PROBES)})) AS o"
+_PROBES = f"SELECT unnest({_list(lists.PROBES)}) AS path, unnest(range({len(lists.PROBES)})) AS o"
 _BOOKING = [h for h in lists.BOOKING_HOSTS if h != "coubic.com"]
 _MOVED = "CASE WHEN area = '東京都' THEN replace(form_url, 'form-box.example', 'airrsv.net') ELSE form_url END"
 _NAME_PARTS = r"list_filter(list_transform(regexp_split_to_array(coalesce(title, ''), '\s*[|｜\-–—]\s*'), lambda x: trim(x, ' ')), lambda x: x <> '')"
