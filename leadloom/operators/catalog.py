@@ -66,9 +66,15 @@ def page(df: DataFrame, f: Filter, sort_by: str = "collectedAt", descending: boo
 
 
 def counts(df: DataFrame, f: Filter) -> DataFrame:
-    """(total, forms, phones, emails) of the filtered rows in one pass. [AG-01, AG-02]"""
-    has = lambda c: F.count_if(~missing(F.col(c)))
-    return rows(df, f).agg(F.count("*").alias("total"), has("form_url").alias("forms"), has("phone").alias("phones"), has("email").alias("emails"))
+    """(total, forms, phones, emails) of the filtered rows in one pass; rows asked for without something have 0 with it. [AG-01, AG-02]
+
+    Without a phone or an e-mail is no filter: only its own count is 0.
+    """
+
+    def has(c: str, wanted: bool | None) -> Column:
+        return F.count_if(~missing(F.col(c))) if wanted is not False else F.lit(0).cast("bigint")
+
+    return rows(df, f).agg(F.count("*").alias("total"), has("form_url", f.has_form).alias("forms"), has("phone", f.has_phone).alias("phones"), has("email", f.has_email).alias("emails"))
 
 
 def facet(df: DataFrame, column: str) -> DataFrame:
@@ -116,6 +122,18 @@ def updated(df: DataFrame, condition: Column, values: dict[str, str]) -> DataFra
     return df.withColumns({c: F.when(F.coalesce(condition, F.lit(False)), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}) if values else df
 
 
+def affected(df: DataFrame, condition: Column) -> DataFrame:
+    """(affected): how many rows an update or a delete with that condition touches. [DM-04]"""
+    return df.agg(F.count_if(F.coalesce(condition, F.lit(False))).alias("affected"))
+
+
+def without_runs(df: DataFrame, runs: DataFrame, ids: Sequence[str], busy: Sequence[str] = ("running", "pending")) -> tuple[DataFrame, DataFrame]:
+    """The table without the rows of some runs, and (run_id, affected) of the runs that went; a run that is still busy, or isn't known, keeps its rows. [DM-05]"""
+    gone = runs.where(F.col("id").isin(list(ids)) & ~F.coalesce(F.col("status").isin(list(busy)), F.lit(False))).select(F.col("id").alias("run_id"))
+    counts_ = df.join(gone, "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("affected"))
+    return df.join(gone, "run_id", "left_anti"), gone.join(counts_, "run_id", "left").select("run_id", F.coalesce("affected", F.lit(0)).cast("bigint").alias("affected"))
+
+
 def deleted(df: DataFrame, condition: Column) -> DataFrame:
     """The table without the rows for which the condition holds. [DM-05, DM-06]"""
     return df.where(~F.coalesce(condition, F.lit(False)))

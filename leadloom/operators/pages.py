@@ -9,7 +9,7 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urldefrag, urljoin, urlsplit
+from urllib.parse import urldefrag, urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -97,9 +97,9 @@ class _Reader(HTMLParser):
 
 
 def resolve(base: str, link: str) -> str:
-    """The absolute address of a link without fragment, '' if it can't be one. [UR-07]"""
+    """The absolute address of a link without fragment, its scheme in lower case, '' if it can't be one. [UR-07]"""
     try:
-        return urldefrag(urljoin(base, link.strip())).url
+        return urlunsplit(urlsplit(urldefrag(urljoin(base, link.strip())).url))
     except ValueError:
         return ""
 
@@ -456,7 +456,8 @@ def probed_forms(facts: DataFrame, best: DataFrame, pages: DataFrame, key: str)
     asked = plan.join(facts.select(key, "base", root.alias("root"), F.col("html").alias("home_html"), "is_shell"), key).withColumn("asked", F.concat("root", "path"))
     got = asked.join(pages.select(F.col("url").alias("asked"), "final_url", "status_code", "html", "forms"), "asked", "left").withColumn("final", F.coalesce("final_url", "asked"))
     why = soft_404({"url": F.col("base"), "html": F.col("home_html")}, {"url": F.col("final"), "html": F.col("html"), "status_code": F.col("status_code"), "asked": F.col("asked")}, F.col("is_shell"))
-    judged = before_abort(got.withColumn("why", why), key, "ord", F.col("why") != "", counts=F.col("why") != "neutral").where("why = ''")
+    reasons = cut(got.withColumn("why", why).drop("home_html", "base", "root"))
+    judged = before_abort(reasons, key, "ord", F.col("why") != "", counts=F.col("why") != "neutral").where("why = ''")
     shell = F.col("is_shell") & F.lower("path").rlike(lists.CONTACT_PATH) & (F.length(H.short_text(F.col("html"), 1000)) < 800)
     good = judged.where(is_form_page(F.col("html"), F.col("forms")) | shell)
     return good.groupBy(key).agg(F.min_by("final", "ord").alias("u")).select(key, urls.without_tracking(F.col("u")).alias("form_url"), F.lit("probe").alias("stage"))

@@ -56,10 +56,10 @@ def until_enough(df: DataFrame, group: str, order: str, amount: str, most: int)
     return df.withColumn("_sum", F.coalesce(F.sum(amount).over(before), F.lit(0))).where(F.col("_sum") < most).drop("_sum")
 
 
-def known_areas(df: DataFrame, area: str, areas: DataFrame) -> DataFrame:
-    """The rows with whether their area is known; an empty area passes. [SC-19]"""
+def known_areas(df: DataFrame, area: str, areas: DataFrame, failed: Column | None = None) -> DataFrame:
+    """The rows with whether their area is known; an empty area passes, and one whose lookup `failed`. [SC-19]"""
     names = areas.select(F.col(areas.columns[0]).alias(area)).distinct().withColumn("_known", F.lit(True))
-    return df.join(names, area, "left").withColumn("valid", F.coalesce("_known", missing(F.col(area)))).drop("_known")
+    return df.join(names, area, "left").withColumn("valid", F.coalesce("_known", missing(F.col(area)) | F.coalesce(F.lit(False) if failed is None else failed, F.lit(False)))).drop("_known")
 
 
 def camel(df: DataFrame) -> DataFrame:
@@ -68,10 +68,15 @@ def camel(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(name(c)) for c in df.columns))
 
 
-def payloads(df: DataFrame, group: str, order: str, fields: Sequence[str]) -> DataFrame:
-    """(group, n, items): each group's rows in order as one array. A payload is as large as its group: for runs, not for tables. [PR-07]"""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("items"))
-    return rows.select(group, F.size("items").cast("bigint").alias("n"), "items")
+def payloads(df: DataFrame, group: str, order: str, fields: Sequence[str], size: int = 1000) -> DataFrame:
+    """(group, part, n, items): each group's rows in order as arrays of at most `size`, numbered from 0. [PR-07]
+
+    A group is cut at every `size` rows of its order, so none has to fit into one array; the rank is a window over the group's rows.
+    """
+    rank = F.row_number().over(W.partitionBy(group).orderBy(order, *fields)) - 1
+    numbered = df.withColumn("part", F.floor(rank / size))
+    rows = numbered.groupBy(group, "part").agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("items"))
+    return rows.select(group, "part", F.size("items").cast("bigint").alias("n"), "items")
 
 
 def split_by(df: DataFrame, gates: dict[str, Column]) -> DataFrame:

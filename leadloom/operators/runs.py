@@ -100,11 +100,62 @@ def stale(runs: DataFrame, now: str, limits: dict[str, str]) -> DataFrame:
     return runs.select("id", "status", F.coalesce(old, F.lit(False)).alias("stale"))
 
 
+def _three(n: Column) -> Column:
+    """A number with three digits at least. [TX-16]"""
+    text = n.cast("string")
+    return F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)
+
+
 def next_number(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """(next_id): the prefix with the largest number in use plus one, three digits at least. [AG-15, TX-16, FL-07, SC-07]"""
     n = F.regexp_extract(F.col(column), r"(\d+)$", 1).try_cast("int")
     used = df.where(F.startswith(F.col(column), F.lit(prefix))).agg(F.coalesce(F.max(n), F.lit(0)).alias("n"))
-    return used.select(F.concat(F.lit(prefix), F.lpad((F.col("n") + 1).cast("string"), 3, "0")).alias("next_id"))
+    return used.select(F.concat(F.lit(prefix), _three(F.col("n") + 1)).alias("next_id"))
+
+
+def next_by_count(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """(next_id): the prefix with how many ids begin with it plus one, three digits at least. [AG-15, TX-16]"""
+    used = df.where(F.startswith(F.col(column), F.lit(prefix))).agg(F.count("*").alias("n"))
+    return used.select(F.concat(F.lit(prefix), _three(F.col("n") + 1)).alias("next_id"))
+
+
+def with_new(df: DataFrame, values: dict[str, object], prefix: str = "run-") -> DataFrame:
+    """A configuration's runs with one more, whose id is the largest number in use plus one. [DM-09, AG-15]
+
+    Values of other columns are null.
+    """
+    n = F.regexp_extract(F.col("id"), rf"^{prefix}(\d+)", 1).try_cast("int")
+    new_id = F.concat(F.lit(prefix), _three(F.coalesce(F.max(n), F.lit(0)) + 1))
+    kinds = dict(df.dtypes)
+    row = df.agg(new_id.alias("id")).select(*(F.col("id") if c == "id" else F.lit(values.get(c)).cast(kinds[c]).alias(c) for c in df.columns))
+    return df.unionByName(row)
+
+
+def without(df: DataFrame, run_id: str) -> DataFrame:
+    """A configuration's runs without one; nothing changes if it isn't there. [DM-09]"""
+    return df.where(~F.col("id").eqNullSafe(F.lit(run_id)))
+
+
+def toggled(df: DataFrame, run_id: str, column: str = "enabled") -> DataFrame:
+    """A configuration's runs with one switched on or off; a null switch counts as off. [DM-09]"""
+    return df.withColumn(column, F.when(F.col("id") == run_id, ~F.coalesce(F.col(column), F.lit(False))).otherwise(F.col(column)))
+
+
+#: What an execution's nodes say of the tokens they used.
+_NODES = "map<string,array<struct<data:struct<main:array<array<struct<json:struct<usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>>>>>>>>"
+
+
+def node_tokens(executions: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, tokens_input, tokens_output): sums over all results of all nodes of each execution, of each result its first item. [AG-14]
+
+    Null where nothing was used or the body can't be read.
+    """
+    results = F.flatten(F.map_values(F.from_json(F.col(body), _NODES)))
+    usage = F.transform(results, lambda r: F.try_element_at(F.try_element_at(r["data"]["main"], F.lit(1)), F.lit(1))["json"]["usage"])
+    total = lambda name: F.aggregate(usage, F.lit(0).cast("bigint"), lambda n, u: n + F.coalesce(u[name], F.lit(0)))
+    sums = executions.select(key, total("prompt_tokens").alias("tokens_input"), total("completion_tokens").alias("tokens_output"))
+    used = (F.col("tokens_input") > 0) | (F.col("tokens_output") > 0)
+    return sums.select(key, F.when(used, F.col("tokens_input")).alias("tokens_input"), F.when(used, F.col("tokens_output")).alias("tokens_output"))
 
 
 def latest_values(events: DataFrame, key: str, order: str, fields: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadloom.functions import lists, urls
@@ -12,7 +13,7 @@ from leadloom.functions import lists, urls
 
 def keyword_list(c: Column) -> Column:
     """A comma list as an array without blanks. [TX-19]"""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda w: w != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda w: F.trim(w)), lambda w: w != "")
 
 
 def keyword_groups(words: Column, together: bool) -> Column:
@@ -51,6 +52,26 @@ def limit_per_query(most: int, areas: int, words: int) -> int:
     return 60 if not most else -(-most // max(areas, 1)) if words <= 1 else -(-most // (max(areas, 1) * words))
 
 
+def limit_column(most: Column, areas: Column, words: Column) -> Column:
+    """How many results one query of a request may give: its share of `most`, rounded up; 60 where there is no limit. [SL-06]"""
+    return F.when(F.coalesce(most, F.lit(0)) <= 0, 60).otherwise(F.ceil(most / F.greatest(areas, F.lit(1)) / F.greatest(words, F.lit(1)))).cast("bigint")
+
+
+def capped_results(results: DataFrame, query: Sequence[str], order: str, limit: Column, page: int = 20) -> DataFrame:
+    """The results of each query up to its limit, whole pages. [SL-06, SC-14]"""
+    n = F.row_number().over(W.partitionBy(*query).orderBy(order))
+    return results.withColumn("_n", n).where(F.floor((F.col("_n") - 1) / page) * page < limit).drop("_n")
+
+
+def concatenated(parts: Sequence[DataFrame]) -> DataFrame:
+    """The results of several keywords one after the other: with `part`, the place of their keyword; nothing is merged. [SO-02]"""
+    numbered = [df.withColumn("part", F.lit(i).cast("bigint")) for i, df in enumerate(parts)]
+    out = numbered[0]
+    for df in numbered[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def organic(results: DataFrame, link: str, skipped: Sequence[str] = tuple(lists.SKIPPED_DOMAINS)) -> DataFrame:
     """The results with a host that isn't of a skipped domain, with that host. [FL-16, FL-17, UR-04]"""
     return results.withColumn("host", urls.raw_host(F.col(link))).where(F.col("host") != "").where(~urls.on_hosts(F.col("host"), list(skipped)))
@@ -63,7 +84,7 @@ def not_aggregated(results: DataFrame, link: str) -> DataFrame:
 
 def company_name(title: Column) -> Column:
     """A result's title up to its separators: the longest part if one has more than five characters, else the first. [PR-12]"""
-    parts = F.filter(F.transform(F.split(F.coalesce(title, F.lit("")), r"\s*[|｜\-–—]\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(title, F.lit("")), r"\s*[|｜\-–—]\s*"), lambda p: F.trim(p)), lambda p: p != "")
     longest = F.array_max(F.transform(parts, F.length))
     first_long = F.try_element_at(F.filter(parts, lambda p: F.length(p) == longest), F.lit(1))
     return F.coalesce(F.when(longest > 5, first_long).otherwise(F.try_element_at(parts, F.lit(1))), F.lit(""))

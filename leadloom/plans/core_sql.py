@@ -223,6 +223,33 @@ def _band(c: str, high: float, middle: float) -> str:
     return f"CASE WHEN ({c}) >= {high} THEN 'high' WHEN ({c}) >= {middle} THEN 'middle' WHEN ({c}) IS NOT NULL THEN 'low' END"
 
 
+
+
+def _edges(c: str) -> str:
+    return _re(c, (r"^[\s\x{3000}\x{A0}\x{0B}]+", ""), (r"[\s\x{3000}\x{A0}\x{0B}]+$", ""))
+
+
+_EDGES = _edges("phone")
+_LD = "'<script type=\"application/ld+json\">' || to_json({email: 'ld.' || coalesce(email, ''), telephone: coalesce(phone, ''), address: {addressRegion: coalesce(area, ''), streetAddress: coalesce(address, '')}})::varchar || '</script>'"
+_ITEMS = (
+    "'<p itemprop=\"telephone\">' || coalesce(phone, '') || '</p><div itemprop=\"address\" itemscope><b itemprop=\"addressRegion\">' || coalesce(area, '') || '</b><b itemprop=\"streetAddress\">' || coalesce(address, '')"
+    " || '</b></div>'"
+)
+#: Pages with JSON-LD (0), microdata (1) or both (2).
+_WITH_LD = f"WITH k AS (SELECT *, ascii(right(id, 1)) % 3 AS k FROM companies), w AS (SELECT *, {_PAGE} || CASE k WHEN 0 THEN {_LD} WHEN 1 THEN {_ITEMS} ELSE {_LD} || {_ITEMS} END AS h FROM k)"
+#: The one link of a page, to its form.
+_LINK = f"""WITH r AS (SELECT id, {_re(f"regexp_replace({_edges(_n('form_url'))}, '&amp;', '&', 'gi')", ('[\\t\\n\\r]', ''), ('#.*$', ''), ('[?]$', ''))} AS u, hp_url FROM companies),
+u AS (SELECT id, lower(regexp_extract(u, '^([a-zA-Z]*:)?', 0)) || regexp_replace(u, '^([a-zA-Z]*:)?', '') AS url, hp_url FROM r WHERE u <> ''),
+l AS (SELECT *, {_host_key('url')} AS host, {_host_key('hp_url')} AS home FROM u WHERE {_host_key('url')} <> '')"""
+_INSIDE = "(host = home OR suffix(host, '.' || home))"
+_SCORED = f"""{_LINK}, d AS (SELECT *, lower(url) AS w, coalesce(try(url_decode(replace(lower(url), '+', '%2B'))), '') AS reads FROM l),
+b AS (SELECT id, url, 12 + 2 + CASE WHEN {_m('w', lists.CONTACT_PATH)} OR {_m('w', lists.CONTACT_CODED)} THEN 8 ELSE 0 END + CASE WHEN NOT contains(reads, '�') AND {_has_any('reads', lists.JAPANESE_PATH_WORDS)} THEN 8 ELSE 0 END
+  + CASE WHEN {_has_any('w', lists.JAPANESE_PATH_WORDS[:4])} THEN 8 ELSE 0 END + CASE WHEN {_m('w', '/cgi(-bin)?/.*form')} THEN 12 ELSE 0 END
+  + CASE WHEN {_m('w', r'/(mailform|form[_-]?mail|contact[_-]?form|inquiry|toiawase)[.](cgi|pl|php|aspx?)([?]|$)')} THEN 10 ELSE 0 END + CASE WHEN {_INSIDE} THEN 0 ELSE 15 END
+  + CASE WHEN {_INSIDE} AND split_part({_host('w')}, '.', 1) IN ('contact', 'inquiry', 'form', 'mail', 'toiawase', 'otoiawase') THEN 8 ELSE 0 END AS score
+  FROM d WHERE NOT {_on('host', lists.REJECTED_HOSTS)} AND ({_INSIDE} OR {_has_any('host', lists.FORM_HOSTS)}) AND NOT {_has_any('host', lists.BOOKING_HOSTS)}
+  AND NOT {_m('w', lists.OTHER_PATH)} AND NOT {_m('w', lists.DONE_PATH)})"""
+
 _REQ = "SELECT id, search_target.keywords AS words, search_target.area AS area, search_target.industry AS industry FROM project_runs"
 _UPSERT = """
 WITH old AS (SELECT id, coalesce(normalized_form_url, '') AS f, coalesce(normalized_hp_url, '') AS h, coalesce(form_url, '') AS url FROM companies),
@@ -323,6 +350,18 @@ SQL = {
     "page_texts": f"{_WITH_PAGE} SELECT id, {_TITLE} AS title, {_VISIBLE} AS text, {_HEADS} AS headings, ({_SHORT})[1:80] AS short FROM c",
     "page_contacts": f"""{_WITH_PAGE} SELECT id, {_email('h')} AS email, CASE WHEN {_x('h', f'(?i)mailto:({_MAIL})')} <> '' THEN {_x('h', f'(?i)mailto:({_MAIL})')} WHEN {_m(_x('h', f'(?i)({_MAIL})'), 'noreply|no-reply|example|test', 'i')} THEN '' ELSE {_x('h', f'(?i)({_MAIL})')} END AS email2,
         {_phone('h')} AS phone, {_first_phone('h')} AS first_phone, len({_faxes('h')}) AS faxes, {_address('h')} AS address FROM c""".replace("email2", "first_email"),
+    "structured_contacts": f"""{_WITH_LD}, v AS (SELECT *, CASE WHEN k <> 1 AND coalesce(phone, '') <> '' THEN phone WHEN k <> 0 AND {_m(_re('phone', (r'\D', '')), '^0[0-9]{9,10}$')} THEN {_EDGES} ELSE '' END AS p FROM w),
+        t AS (SELECT *, {_re("translate(p, '（）－–—', '()---')", (r'[\s\x{3000}\x{A0}\x{0B}]+', ''))} AS q FROM v)
+        SELECT id, CASE WHEN k <> 1 THEN 'ld.' || coalesce(email, '') ELSE {_email('h')} END AS email,
+        CASE WHEN q = '' THEN {_phone('h')} WHEN {_m(_re('q', (r'\D', '')), '^0[0-9]{9,10}$')} OR starts_with(q, '+81') THEN q ELSE '' END AS phone,
+        CASE WHEN k <> 1 AND coalesce(area, '') || coalesce(address, '') <> '' THEN array_to_string(list_filter([area, address], lambda x: x <> ''), ' ')
+          WHEN {_n(_edges('area'))} <> '' AND {_n(_edges('address'))} <> '' THEN {_edges('area')} || ' ' || {_edges('address')} ELSE {_address('h')} END AS address FROM t""",
+    "page_links": f"{_LINK} SELECT id, 0 AS pos, url, 'お問い合わせ' AS text, false AS in_footer, true AS in_nav, host FROM l",
+    "best_links": f"{_SCORED} SELECT id, 1 AS rank, url, 'お問い合わせ' AS text, score FROM b",
+    "page_forms": f"{_SCORED} SELECT c.id, b.url AS form_url, CASE WHEN b.url IS NOT NULL THEN 'link' END AS source FROM companies c LEFT JOIN b ON b.id = c.id",
+    "page_checks": f"""{_WITH_PAGE}, t AS (SELECT id, h, lower({_TITLE}) AS title FROM c) SELECT id, {_m('h', r'lin[.]ee/|page[.]line[.]me/|accountpage[.]line[.]me/|liff[.]line[.]me/', 'i')} AS form_page,
+        CASE WHEN {_m('title', '送信完了|ありがとうございます|受け付けました|thank you|submission complete|success')} THEN 'done'
+          WHEN {_m('title', 'ニュース|news|プレスリリース|お知らせ一覧|アクセス|access|採用|recruit|サービス一覧|実績|ブログ|blog|プライバシー|privacy|利用規約|terms|サイトマップ|sitemap|会社概要|ギャラリー|gallery|イベント一覧|セミナー一覧|webinar|workshop|会員登録|メンバー登録|資料ダウンロード|ホワイトペーパー|whitepaper|free.*download|無料ダウンロード')} THEN 'other' ELSE '' END AS refused, false AS inline FROM t""",
     "type_hints": f"""{_WITH_PAGE} SELECT id, CASE WHEN coalesce(form_url, '') <> '' AND {_m(_n('form_url'), r'lin[.]ee/|page[.]line[.]me/|accountpage[.]line[.]me/|liff[.]line[.]me/', 'i')} THEN 'LINE'
         WHEN coalesce(form_url, '') <> '' AND {_has_any(_host_key('form_url'), lists.BOOKING_HOSTS)} THEN 'booking' WHEN {_has_any('lower(h)', lists.BOOKING_WORDS)} THEN 'booking' WHEN coalesce(form_url, '') <> '' THEN 'inquiry' END AS hint FROM c""",
     "probe_plans": f"""WITH s AS (SELECT id, CASE WHEN sheets_id IS NULL THEN 'wix' ELSE '' END AS b FROM projects), p AS ({_PROBES}),
@@ -354,7 +393,14 @@ SQL = {
     "full_pages": "SELECT project_id, id, coalesce(raw_search_count, 0) AS size FROM project_runs QUALIFY coalesce(max(CASE WHEN coalesce(raw_search_count, 0) < 600 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0",
     "enough_runs": "SELECT project_id, id, coalesce(items_written, 0) AS items FROM project_runs QUALIFY coalesce(sum(coalesce(items_written, 0)) OVER (PARTITION BY project_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 2000",
     "known_areas": """SELECT row_no, coalesce("エリア", '') = '' OR "エリア" IN (SELECT area FROM companies WHERE area IS NOT NULL) AS valid FROM sheet_row""",
-    "run_payloads": "SELECT run_id, count(*) AS n, min(id) AS first_id FROM companies GROUP BY run_id",
+    "run_payloads": """SELECT run_id, part, count(*) AS n, md5(string_agg(id || '=' || coalesce(name, ''), ',' ORDER BY id)) AS digest
+        FROM (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY id) - 1) // 100 AS part FROM companies) GROUP BY run_id, part""",
+    "events_limited": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        r AS (SELECT user_id, event_id, n, true AS accepted, [t] AS log FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.event_id, e.n, len(list_filter(r.log, lambda x: x > e.t - 86400000000)) < 2,
+            CASE WHEN len(list_filter(r.log, lambda x: x > e.t - 86400000000)) < 2 THEN list_append(list_filter(r.log, lambda x: x > e.t - 86400000000), e.t) ELSE list_filter(r.log, lambda x: x > e.t - 86400000000) END
+          FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+        SELECT event_id, accepted FROM r""",
     "sending_gates": "SELECT CASE WHEN coalesce(form_url, '') = '' THEN 'no form' WHEN form_type = 'reservation' THEN 'reservation' WHEN status = '送信済み' THEN 'sent' ELSE 'else' END AS gate, count(*) AS n FROM companies GROUP BY 1",
     "history_search": "SELECT r.id, label FROM project_runs r LEFT JOIN projects p ON p.id = r.project_id WHERE parent_run_id IS NULL AND status = 'success' AND (contains(lower(label), '東京都') OR contains(lower(coalesce(p.name, r.project_id)), '東京都'))",
     "recovered_jobs": f"SELECT 'job-' || id AS id, CASE WHEN run_type = 'single' THEN CASE WHEN status IN {_GOOD} THEN 'completed' WHEN status = 'error' THEN 'failed' ELSE 'active' END ELSE 'waiting' END AS status FROM project_runs",

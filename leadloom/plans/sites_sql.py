@@ -82,7 +82,7 @@ SQL = {
     "form_checks": f"SELECT id, form_page FROM companies JOIN {_FORM_CASES} ON k = ascii(right(id, 1)) % 8",
     "refused_pages": f"SELECT doc_id, CASE WHEN regexp_matches(t, '{_DONE}') THEN 'done' WHEN regexp_matches(t, '{_OTHER}') THEN 'other' ELSE '' END AS refused FROM (SELECT doc_id, lower(coalesce(title, '')) AS t FROM documents)",
     "simple_scores": """SELECT id, 10 * (contains(n, 'contact')::int + contains(n, 'inquiry')::int + contains(n, 'hair')::int + contains(n, '美容')::int) + 5 * (contains(u, 'contact')::int + contains(u, 'inquiry')::int + contains(u, 'hair')::int
-        + contains(u, '美容')::int) + CASE WHEN regexp_matches(u, 'contact|inquiry|form|mail|message') THEN 8 ELSE 0 END + CASE WHEN contains(u, 'toiawase') THEN 8 ELSE 0 END AS score
+        + contains(u, '美容')::int) + CASE WHEN regexp_matches(u, 'contact|inquiry|form|mail|message') THEN 8 ELSE 0 END + CASE WHEN contains(u, 'toiawase') THEN 8 ELSE 0 END::bigint AS score
         FROM (SELECT id, lower(coalesce(name, '')) AS n, lower(coalesce(form_url, '')) AS u FROM companies)""",
     "form_element_pages": r"SELECT doc_id, regexp_matches(coalesce(text, ''), '\d{2,4}-\d{2,4}-\d{4}') OR contains(coalesce(text, ''), '円') OR regexp_matches(coalesce(text, ''), 'mail', 'i') AS hit FROM documents",
     "booking_fallbacks": """SELECT id, CASE WHEN f = '' AND b THEN 'https://www.coubic.com/' || id ELSE f END AS form_url, f = '' AND b AS by_booking

@@ -28,21 +28,20 @@ def csv_header() -> str:
 
 
 def write_csv(companies: DataFrame, path: str, order: list[str]) -> None:
-    """The sheet view as CSV parts in a folder, in order, each with byte-order mark and header. [SK-02]
+    """The sheet view as CSV parts in a folder, in order; the first one begins with byte-order mark and header. [SK-02]
 
-    Parts are range-partitioned, so their names give the order; joining them is left to the reader.
+    Parts are range-partitioned, so their names give the order: joined, they are one file.
     """
     lines = csv_lines(companies.repartitionByRange(*order).sortWithinPartitions(*order)).select("line")
     header = csv_header()
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        first = True
+        if TaskContext.get().partitionId() == 0:
+            yield pa.record_batch([pa.array([header])], names=["value"])
         for b in batches:
-            if first:
-                yield pa.record_batch([pa.array([header])], names=["value"])
-                first = False
             yield pa.record_batch([b.column(0)], names=["value"])
 
     lines.mapInArrow(run, "value string").write.mode("overwrite").text(path)

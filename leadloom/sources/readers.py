@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,9 +22,55 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+#: The file that names a control table's version.
+_POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(conf)
+
+
 def write_control(df: DataFrame, path: str) -> None:
-    """A control table replaced as a whole: Spark's committer moves finished files into place. [SK-08, DM-08, DM-09]"""
-    df.write.mode("overwrite").parquet(path)
+    """A control table replaced as a whole: a new version is written beside the old, then a pointer file is renamed onto the old one. [SK-08, DM-08, DM-09]
+
+    A reader sees the old version or the new one. Old versions stay until `drop_versions`.
+    """
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, at, fs = _files(spark, path)
+    fresh = jvm.org.apache.hadoop.fs.Path(at, f"_{version}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    onto = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    onto[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fresh, jvm.org.apache.hadoop.fs.Path(at, _POINTER), onto)
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    jvm, at, fs = _files(spark, path)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(at, _POINTER))
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def read_control(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a control table that its pointer names. [SK-08]"""
+    return spark.read.parquet(f"{path}/{_current(spark, path)}")
+
+
+def drop_versions(spark: SparkSession, path: str) -> None:
+    """Remove the versions of a control table that its pointer doesn't name."""
+    _, at, fs = _files(spark, path)
+    now = _current(spark, path)
+    for s in fs.listStatus(at):
+        if s.getPath().getName() not in (_POINTER, now):
+            fs.delete(s.getPath(), True)
 
 
 def parsed_records(df: DataFrame, body: str, schema: T.StructType) -> DataFrame:
