@@ -139,6 +139,14 @@ def deleted(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
+def maintained(df: DataFrame, jobs: DataFrame, busy: Sequence[str], condition: Column) -> DataFrame:
+    """The table without the rows of the condition if no job is busy, else as it is. [ST-11]"""
+    gone = F.coalesce(condition, F.lit(False))
+    waiting = jobs.where(F.col("status").isin(list(busy))).limit(1).select(F.lit(1).alias("_one"))
+    held = df.where(gone).withColumn("_one", F.lit(1)).join(F.broadcast(waiting), "_one", "left_semi").drop("_one")  # one row at most
+    return df.where(~gone).unionByName(held)
+
+
 def instant(c: Column) -> Column:
     """Text as a time: with its zone, else as Tokyo time, in either date form; null where it is none. [MD-07, FL-08]"""
     t = F.regexp_replace(F.trim(c), "/", "-")

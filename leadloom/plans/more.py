@@ -213,6 +213,15 @@ def update_affected(spark, d):
     return catalog.affected(_companies(spark, d), catalog.Filter(status="未送信", has_form=True).condition())
 
 
+def maintained_idle(spark, d):
+    """The store after maintenance while no job is busy, and while some are."""
+    c = _companies(spark, d)
+    old = catalog.expired(c, "2026-04-01 00:00:00", ["送信済み", "スキップ", "エラー"])
+    jobs = table(spark, d, "project_runs")
+    parts = [catalog.maintained(c, jobs, busy, old) for busy in (["no such status"], ["success", "running"])]
+    return search.concatenated([p.agg(F.count("*").alias("n")) for p in parts])
+
+
 def _two_runs(spark, d):
     """The first ended and the first unfinished run, by id."""
     r = table(spark, d, "project_runs")
@@ -246,5 +255,5 @@ def execution_tokens(spark, d):
 QUERIES = [
     config_read, config_edited, callbacks, search_jobs, arrivals, appended, control_table, csv_export, camel_rows, defaulted, request_defaults, keyword_lists, proposed_words, words_once,
     merged_contacts, model_replies, model_types, model_candidates, random_ids, near_points, rekeyed, query_limits, capped_queries, concatenated_parts, areas_with_failures, grid_without,
-    update_affected, runs_removed, rows_after_removal, next_project_by_count, execution_tokens,
+    update_affected, maintained_idle, runs_removed, rows_after_removal, next_project_by_count, execution_tokens,
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.plans.core_sql import _store_key
+from leadloom.plans.core_sql import _AT, _store_key
 
 _K = "ascii(right(id, 1))"
 _LAT, _LNG = f"(35.0::double + {_K} / 100.0::double)", "(139.0::double + ascii(id[-2]) / 100.0::double)"
@@ -45,6 +45,7 @@ SQL = {
         FROM (SELECT row_no, "エリア" || CASE WHEN row_no % 3 = 0 THEN 'x' ELSE '' END AS a FROM sheet_row)""",
     "grid_without": "SELECT count(*) AS total, 0::bigint AS forms, 0::bigint AS phones, count(*) FILTER (coalesce(email, '') <> '') AS emails FROM companies WHERE coalesce(form_url, '') = ''",
     "update_affected": "SELECT count(*) AS affected FROM companies WHERE status = '未送信' AND coalesce(form_url, '') <> ''",
+    "maintained_idle": f"SELECT count(*) FILTER (NOT coalesce({_AT} < TIMESTAMPTZ '2026-04-01 00:00:00+00' AND status IN ('送信済み', 'スキップ', 'エラー'), false)) AS n, 0::bigint AS part FROM companies UNION ALL SELECT count(*), 1 FROM companies",
     "runs_removed": f"SELECT {_ENDED} AS run_id, count(*) AS affected FROM companies WHERE run_id = {_ENDED}",
     "rows_after_removal": f"SELECT run_id, count(*) AS n FROM companies WHERE run_id IS DISTINCT FROM {_ENDED} GROUP BY run_id",
     "next_project_by_count": "SELECT 'proj-202601' || lpad((count(*) + 1)::varchar, 3, '0') AS next_id FROM projects WHERE starts_with(id, 'proj-202601')",
