@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 _NO_LETTER = re.compile(r"[\W_]+")
 
@@ -61,39 +62,54 @@ class BlockShifts:
         return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", width: int = 40, block: int = 8, block_chars: int = 4_000_000) -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[list[tuple]]:
+    """(key, letters) of the documents, as many at a time as hold about so many characters."""
+    held, n = [], 0
+    for b in batches:
+        for key, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held.append((key, letters(doc)))
+            n += len(held[-1][1])
+            if n >= chars:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", width: int = 40, block: int = 8, block_chars: int = 4_000_000, held_chars: int = 32_000_000) -> DataFrame:
     """(doc_key, item_key): the document shares at least `width` letters and digits in a row with the item.
 
     Null, empty and shorter texts share nothing. An item id that has several rows leaks if one of them does. The items
-    are searched in blocks of at most about `block_chars` characters, so the tables each task holds stay bounded however
-    many items there are; whole documents are read for each block. The driver holds the items' texts: they are test
-    items, not a corpus.
+    are searched in blocks of about `block_chars` characters, so the tables a task holds stay bounded however many items
+    there are; each block is a broadcast of that size, and no item stays with the driver. The documents are read once: a
+    task holds about `held_chars` of them at a time and takes the blocks in turn.
     """
     doc_type, item_type = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{doc_key}` {doc_type}, `{item_key}` {item_type}"
     held = items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("k"), F.col(text).alias("t"))
-    total = held.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    blocks = int(total // block_chars) + 1
+    blocks, now, n = [], [], 0
+    share = docs.sparkSession.sparkContext.broadcast
+    for r in held.toLocalIterator():
+        now.append((r["k"], letters(r["t"])))
+        n += len(now[-1][1])
+        if n >= block_chars:
+            blocks.append(share(now))
+            now, n = [], 0
+    if now or not blocks:
+        blocks.append(share(now))
+    kinds = pa.schema([(doc_key, to_arrow_type(docs.schema[doc_key].dataType)), (item_key, to_arrow_type(items.schema[item_key].dataType))])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, at, order = None, -1, range(len(blocks))
+        for group in _gathered(batches, held_chars if len(blocks) > 1 else 1_000_000):
+            hits: list[tuple] = []
+            for i in order:
+                if i != at:
+                    table, at = BlockShifts(blocks[i].value, width, block), i
+                for key, doc in group:
+                    hits += ((key, item) for item in sorted(table.found(doc)))
+            order = order[::-1]  # the last block's tables come first
+            if hits:
+                yield pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*hits), kinds)], schema=kinds)
+
     source = docs.where(F.length(text) >= width // 18).select(doc_key, text)
-    if not total:
-        return source.where("false").select(doc_key, F.lit(None).cast(item_type).alias(item_key))
-    out = None
-    for b in range(blocks):
-        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b)
-        patterns = [(r["k"], letters(r["t"])) for r in part.toLocalIterator()]
-
-        def search(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
-            table = BlockShifts(patterns, width, block)
-            for batch in batches:
-                at, keys = [], []
-                for i, doc in enumerate(batch.column(1).to_pylist()):
-                    if found := table.found(letters(doc)):
-                        at += [i] * len(found)
-                        keys += sorted(found)
-                if at:
-                    left = batch.column(0).take(pa.array(at))
-                    yield pa.record_batch([left, pa.array(keys, pa.from_numpy_dtype("int64") if item_type == "bigint" else None)], names=[doc_key, item_key])
-
-        hits = source.mapInArrow(search, schema)
-        out = hits if out is None else out.unionAll(hits)
-    return out.distinct()
+    return source.mapInArrow(search, f"`{doc_key}` {doc_type}, `{item_key}` {item_type}").distinct()

@@ -9,15 +9,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.pairs import hash128, self_pairs
 from leadloom.sources.tables import cut
 
-# Characters drawn alike, each group written as its first member.
+# Characters drawn alike that the public table of confusable characters leaves apart or doesn't know, and those
+# that names and addresses can't do without; each group is written as its first member.
 ALIKE = [
-    "-‐‑‒–—―−⁃－ーｰ一",
+    "-‐‑‒–—―−⁃－ーｰ一", "〇○◯",
     "オ才", "タ夕", "トト卜", "ロ口", "ハ八", "ヘへ", "ベべ", "ペぺ", "ニ二", "エ工", "カ力", "ノ丿", "ヒ匕", "ム厶", "日曰",
     "AΑА", "BΒВ", "CСϹ", "EΕЕ", "HΗН", "IΙІ", "JЈ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "SЅ", "TΤТ", "XΧХ", "YΥҮ", "ZΖ",
     "aа", "cсϲ", "eе", "hһ", "iі", "jј", "oοо", "pр", "sѕ", "vν", "xх", "yу",
@@ -58,19 +59,61 @@ def _table() -> dict[int, str]:
     return _alike_table()
 
 
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
+
+
+def _looks_like(c: str, shape: str) -> str:
+    """The character that `c` stands for if its confusable shape is `shape`, '' if it is left as it is.
+
+    The script rule: both are letters or both dashes, and they are of different scripts or Latin beyond ASCII, so words of
+    one script stay apart. The table draws I, l and 1 alike, and O and 0: a capital stands for the capital.
+    """
+    if len(shape) != 1 or c == shape or c.isascii() or unicodedata.category(c)[0] != "L" or unicodedata.category(shape)[0] != "L":
+        return ""
+    shape = "I" if shape == "l" and c.isupper() else shape
+    a, b = _script(c), _script(shape)
+    return shape if a != b or a == "LATIN" and c.islower() == shape.islower() else ""
+
+
+_CONFUSABLES: dict[str, dict[int, str]] = {}
+
+
+def confusables(spark: SparkSession) -> dict[int, str]:
+    """Look-alike characters and what they stand for: Unicode's table of confusable characters under the script rule, with ALIKE.
+
+    The table is that of the ICU library Spark brings along; it has a few thousand entries, whatever the data.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _CONFUSABLES:
+        return _CONFUSABLES[app]
+    codes = [c for c in map(chr, (*range(0xA0, 0xD800), *range(0xE000, 0x20000))) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFKC", c) == c]
+    checker = getattr(spark.sparkContext._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    shapes = checker.getSkeleton("\n".join(codes)).split("\n")
+    group = {ord(c): g[0] for g in ALIKE for c in g}
+    table = _alike_table()
+    for c, shape in zip(codes, shapes, strict=True):
+        if (to := _looks_like(c, shape)) and ord(c) not in group:
+            table[ord(c)] = group.get(ord(to), to)
+    _CONFUSABLES[app] = table
+    return table
+
+
 def plain(text: str) -> str:
     """The text in composed form, of one character width, without invisible characters."""
     return unicodedata.normalize("NFC", text.translate(_SHAPES))
 
 
-def one_form(text: str) -> str:
+def one_form(text: str, alike: dict[int, str] | None = None) -> str:
     """The text in composed compatibility form without invisible characters, with plain spaces and one letter per look.
 
-    Spaces at either end go; spaces within stay as many as they are. Letter case stays, as it can be seen.
+    Spaces at either end go; spaces within stay as many as they are. Letter case stays, as it can be seen. alike: the
+    characters drawn like others (`confusables`); without it those of ALIKE.
     """
     text = text.translate(_SHAPES)
     if not text.isascii():  # marks join the letter that looks like theirs
-        text = unicodedata.normalize("NFC", text.translate(_table())).translate(_table())
+        alike = _table() if alike is None else alike
+        text = unicodedata.normalize("NFC", text.translate(alike)).translate(alike)
     return text.strip(" ")
 
 
@@ -96,13 +139,13 @@ def _placeholders() -> frozenset[str]:
     return frozenset(one_form(x).casefold() for x in PLACEHOLDERS)
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forms(batches: Iterator[pa.RecordBatch], alike: dict[int, str]) -> Iterator[pa.RecordBatch]:
     """Each batch's distinct values are brought to one form once."""
     for b in batches:
         ids = b.column(0)
         for i in range(1, b.num_columns):
             field, coded = b.schema.names[i], pc.dictionary_encode(b.column(i))
-            forms = [one_form(x) for x in coded.dictionary.to_pylist()]
+            forms = [one_form(x, alike) for x in coded.dictionary.to_pylist()]
             forms = pa.array([f if is_case(field, f) else None for f in forms], pa.string())
             look = forms.take(coded.indices)
             mask = pc.is_valid(look)
@@ -113,7 +156,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def looks(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id, field, look, value): the consistent form of each value that can be a case; nulls and place-holders have no row."""
     rows = df.select(F.col(key).cast("string").alias("id"), *(F.col(f).cast("string").alias(f) for f in fields))
-    return rows.mapInArrow(_forms, "id string, field string, look string, value string")
+    return rows.mapInArrow(functools.partial(_forms, alike=confusables(df.sparkSession)), "id string, field string, look string, value string")
 
 
 def look_alikes(df: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -68,55 +69,76 @@ def tokens_of(value: str) -> list[str]:
 
 
 class Profile:
-    """A progressive alignment: columns of weighted tokens, None for a gap."""
+    """A progressive alignment: columns of weighted tokens, '' for a gap."""
 
-    def __init__(self):
-        self.columns: list[dict[str | None, float]] = []
-        self.weight = 0.0
+    def __init__(self, columns: list[dict[str, float]] | None = None, weight: float = 0.0):
+        self.columns, self.weight = columns or [], weight
 
-    def add(self, tokens: list[str], weight: float) -> None:
-        """Aligns a value to the columns by the votes its tokens agree with, and adds its own."""
-        n, m, cols = len(self.columns), len(tokens), self.columns
+    @classmethod
+    def of(cls, tokens: list[str], weight: float) -> Profile:
+        return cls([{t: weight} for t in tokens], weight)
+
+    def add(self, other: Profile) -> None:
+        """Aligns another profile's columns to these by the votes they share, and adds its votes."""
+        a, b = self.columns, other.columns
+        n, m = len(a), len(b)
+        shared = [[sum(w * x[t] for t, w in y.items() if t and t in x) for y in b] for x in a]
         best = [[0.0] * (m + 1) for _ in range(n + 1)]
         for i in range(n - 1, -1, -1):
-            row, below, votes = best[i], best[i + 1], cols[i]
+            row, below, votes = best[i], best[i + 1], shared[i]
             for j in range(m - 1, -1, -1):
-                row[j] = max(below[j], row[j + 1], below[j + 1] + votes.get(tokens[j], 0.0))
+                row[j] = max(below[j], row[j + 1], below[j + 1] + votes[j])
         out, i, j = [], 0, 0
         while i < n or j < m:
-            if i < n and j < m and (v := cols[i].get(tokens[j], 0.0)) and best[i][j] == best[i + 1][j + 1] + v:
-                cols[i][tokens[j]] += weight
-                out.append(cols[i])
+            if i < n and j < m and (v := shared[i][j]) and best[i][j] == best[i + 1][j + 1] + v:
+                out.append({t: a[i].get(t, 0.0) + b[j].get(t, 0.0) for t in {**a[i], **b[j]}})
                 i, j = i + 1, j + 1
             elif i < n and (j == m or best[i][j] == best[i + 1][j]):
-                cols[i][None] = cols[i].get(None, 0.0) + weight
-                out.append(cols[i])
+                out.append({**a[i], "": a[i].get("", 0.0) + other.weight})
                 i += 1
             else:
-                out.append({tokens[j]: weight, None: self.weight} if self.weight else {tokens[j]: weight})
+                out.append({**b[j], "": b[j].get("", 0.0) + self.weight} if self.weight else b[j])
                 j += 1
         self.columns = out
-        self.weight += weight
+        self.weight += other.weight
 
     def consensus(self) -> str:
         """The token with most weight of each column; a gap wins a tie, then the smaller token."""
-        return "".join(max(c, key=lambda t: (c[t], t is None, t or "")) or "" for c in self.columns)
+        return "".join(max(c, key=lambda t: (c[t], not t, t)) for c in self.columns)
 
 
-def _votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One consensus per group and part; rows come sorted, and only the profile is held."""
-    now, profile = None, None
+def _profiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(g, first, w, profile) of each group's part; rows come sorted, and only the profile is held."""
+    now, first, profile = None, "", None
+    names = ["g", "first", "w", "profile"]
+    row = lambda: (now[0], first, profile.weight, json.dumps(profile.columns))
     for f in frames:
         out = []
         for g, part, v, w in f.itertuples(index=False):
             if (g, part) != now:
                 if profile:
-                    out.append((*now, profile.consensus(), profile.weight))
-                now, profile = (g, part), Profile()
-            profile.add(tokens_of(v), w)
-        yield pd.DataFrame(out, columns=["g", "part", "v", "w"])
+                    out.append(row())
+                now, first, profile = (g, part), v, Profile()
+            profile.add(Profile.of(tokens_of(v), w))
+        yield pd.DataFrame(out, columns=names)
     if profile:
-        yield pd.DataFrame([(*now, profile.consensus(), profile.weight)], columns=["g", "part", "v", "w"])
+        yield pd.DataFrame([row()], columns=names)
+
+
+def _consensuses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(g, c): the consensus of each group's parts, whose profiles come sorted."""
+    now, whole = None, None
+    for f in frames:
+        out = []
+        for g, _, w, profile in f.itertuples(index=False):
+            if g != now:
+                if whole:
+                    out.append((now, whole.consensus()))
+                now, whole = g, Profile()
+            whole.add(Profile(json.loads(profile), w))
+        yield pd.DataFrame(out, columns=["g", "c"])
+    if whole:
+        yield pd.DataFrame([(now, whole.consensus())], columns=["g", "c"])
 
 
 def recency(c: Column) -> Column:
@@ -125,24 +147,23 @@ def recency(c: Column) -> Column:
     return F.pow(F.lit(2.0), F.greatest(F.least(years, F.lit(20.0)), F.lit(-10.0)))
 
 
-def consensus(df: DataFrame, group: str, key: str, value: str, weight: Column | None = None, part_values: int = 1000) -> DataFrame:
+def consensus(df: DataFrame, group: str, key: str, value: str, weight: Column | None = None, parts: int = 64) -> DataFrame:
     """(keep_id, value_id, value): per non-empty group of two rows or more the existing value closest to the group's token consensus.
 
-    Equal values are one with their weights added (1 a row by default) before anything is aligned. A group of more than
-    `part_values` distinct values is aligned in parts, whose consensuses are then aligned, so no task reads a whole hot
-    group; the group's values are compared with the consensus in parallel. Ties go to the heavier value, then to the
-    smaller id. Null and empty values have no vote; a group that has no other has no row; null ids are left out.
+    Equal values are one with their weights added (1 a row by default) before anything is aligned. The values of every
+    group, small or large, are dealt to `parts` by hash; each part is aligned to a profile of weighted tokens, the parts'
+    profiles are aligned with all their votes, heavier ones first. So no task reads a whole hot group, and a group's size
+    doesn't change how it is treated; the group's values are compared with the consensus in parallel. Ties go to the
+    heavier value, then to the smaller id. Null and empty values have no vote; a group that has no other has no row; null
+    ids are left out.
     """
     w = F.lit(1.0) if weight is None else F.greatest(weight.cast("double"), F.lit(0.0))
     rows = df.where(F.col(group).isNotNull() & (F.col(group) != "") & F.col(key).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(key).cast("string").alias("id"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v"), w.alias("w"))
     groups = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("keep_id")).where("n > 1")
     values = rows.where("v <> ''").groupBy("g", "v").agg(F.sum("w").alias("w"), F.min("id").alias("id")).join(groups.select("g"), "g", "left_semi")
-    sizes = values.groupBy("g").agg(F.ceil(F.count("*") / part_values).cast("int").alias("parts"))
-    spread = values.join(sizes, "g").select("g", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", "w")
-    schema = "g string, part int, v string, w double"
-    ordered = lambda d: d.repartition("g", "part").sortWithinPartitions("g", "part", F.desc("w"), "v")
-    partial = ordered(spread).mapInPandas(_votes, schema)
-    whole = ordered(partial.select("g", F.lit(0).alias("part"), "v", "w")).mapInPandas(_votes, schema).select("g", F.col("v").alias("c"))
+    dealt = values.select("g", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int").alias("part"), "v", "w")
+    partial = dealt.repartition("g", "part").sortWithinPartitions("g", "part", F.desc("w"), "v").mapInPandas(_profiles, "g string, first string, w double, profile string")
+    whole = partial.repartition("g").sortWithinPartitions("g", F.desc("w"), "first").mapInPandas(_consensuses, "g string, c string")
     judged = values.join(whole, "g").withColumn("far", F.levenshtein("v", "c"))
     best = judged.groupBy("g").agg(F.min(F.struct("far", (-F.col("w")).alias("light"), "id", "v")).alias("b"))
     return best.join(groups, "g").select("keep_id", F.col("b.id").alias("value_id"), F.col("b.v").alias("value"))

@@ -45,8 +45,8 @@ def test_instants(spark):
 def test_consensus(spark):
     rows = [("a", "3", "秋葉コテフウ美容室"), ("a", "1", "秋葉コテフウ美容室"), ("a", "2", "株式会社秋葉コテフウ美容室"), ("a", "4", None), ("b", "5", ""), ("b", "6", None), ("c", "7", "x"), ("d", "8", "ab cd"), ("d", "9", "ab xx cd"), ("d", "10", "ab cd yy"), ("", "0", "z")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "g string, id string, name string, w int")
-    for parts in (1000, 1):
-        got = sorted(map(tuple, survivor.consensus(df, "g", "id", "name", part_values=parts).collect()))
+    for parts in (64, 1):
+        got = sorted(map(tuple, survivor.consensus(df, "g", "id", "name", parts=parts).collect()))
         assert got == [("1", "1", "秋葉コテフウ美容室"), ("10", "8", "ab cd")]
     assert survivor.consensus(df.where("false"), "g", "id", "name").count() == 0
 
