@@ -38,7 +38,7 @@ _LABEL = re.compile(r"^\s*(?:住所|所在地|本社|本店|address)\s*[:：]?\s
 _POSTCODE = re.compile(r"〒?\s*(?<!\d)\d{3}-?\d{4}(?![\d-])\s*|〒\s*")
 _PREFS = re.compile("|".join(PREFECTURES))
 _CITY = re.compile(r"^\s*([^\d\s()]+?[市区町村](?:(?<=[町村])市)?)")
-_START = re.compile(rf"\d|{_NUMBER}\s*(?:丁目|番|号)|[〇零一二三四五六七八九十百千]+(?=[-の])")
+_START = re.compile(rf"\d|{_NUMBER}\s*(?:丁目|番(?!町)|号)|[〇零一二三四五六七八九十百千]+(?=[-の])")
 _STEP = re.compile(rf"\s*({_NUMBER})\s*(丁目?|番地?\s*の?|号|[-のノ之])?(?:\s*の(?={_NUMBER}))?")
 _NAME = re.compile(r"[一-鿿々〆ぁ-ゖァ-ヶー]{2,}")
 _READ = {v: k for k, v in PREFECTURES.items()}
