@@ -81,27 +81,35 @@ def resolved_type(form_url_is_line: Column, given: Column) -> Column:
     return F.when(form_url_is_line, "LINE").when(given == "booking", "reservation").otherwise(F.coalesce(given, F.lit("")))
 
 
+def with_first(df: DataFrame, key: str, turn: Sequence[str], mark: str, among: Column | None = None) -> DataFrame:
+    """The rows with whether each is the first of its key, of those for which `among` holds; rows without a key aren't.
+
+    The first row is found by an aggregate with map-side combining and marked by a join on the turn, which is unique: a key
+    that many rows have costs no more than another.
+    """
+    rows = df.where(~missing(F.col(key))) if among is None else df.where(~missing(F.col(key)) & among)
+    firsts = rows.groupBy(key).agg(F.min(F.struct(*turn)).alias("_f")).select(*(F.col(f"_f.{t}").alias(t) for t in turn), F.lit(True).alias(mark))
+    return df.join(firsts, list(turn), "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
 def upsert_plan(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """(id, ord, decision, target_id): what becomes of each row of a batch that arrives in order. [DM-01, JN-01..03, WN-04]
 
     stored: id, form_key, home_key, form_url. batch: the same and ord. Keys are '' (or null) where a row has no such page.
     The loop "insert unless the form is known; if only the home page is known, upgrade a stored row without a form" is two
-    windows: a row that survives the form check always adds its form, and the first survivor of a home page inserts.
+    first-row marks: a row that survives the form check always adds its form, and the first survivor of a home page inserts.
+    Only candidates and their targets are ranked.
     decision: insert, upgrade (target_id says which row), or duplicate. Among possible targets the stored ones come first,
     by id, then the ones just inserted, by order; the k-th candidate takes the k-th target.
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     cols = [F.col("id"), blank("form_key").alias("f"), blank("home_key").alias("h"), blank("form_url").alias("url")]
     old, new = stored.select(*cols), batch.select(*cols, "ord")
-    alone = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit("\0"), F.col("id")))
-    by_form = W.partitionBy(alone(F.col("f"))).orderBy("ord", "id")
+    new = new.withColumn("turn", F.row_number().over(W.partitionBy("ord", "id").orderBy("f", "h", "url")))  # of repeated rows one is first
     marked = marked_known(marked_known(new, old, "f", "f_known"), old, "h", "h_known")
-    ranked = marked.withColumn("f_rank", F.when(F.col("f") != "", F.row_number().over(by_form)).otherwise(1))
-    survives = (F.col("f") == "") | ((F.col("f_rank") == 1) & ~F.col("f_known"))
-    judged = ranked.withColumn("survives", survives)
-    by_home = W.partitionBy(alone(F.col("h")), "survives").orderBy("ord", "id")
-    judged = judged.withColumn("h_rank", F.when((F.col("h") != "") & F.col("survives"), F.row_number().over(by_home)).otherwise(1))
-    inserts = F.col("survives") & ((F.col("h") == "") | ((F.col("h_rank") == 1) & ~F.col("h_known")))
+    judged = with_first(marked, "f", ["ord", "id", "turn"], "f_first").withColumn("survives", (F.col("f") == "") | (F.col("f_first") & ~F.col("f_known")))
+    judged = with_first(judged, "h", ["ord", "id", "turn"], "h_first", F.col("survives"))
+    inserts = F.col("survives") & ((F.col("h") == "") | (F.col("h_first") & ~F.col("h_known")))
     judged = judged.withColumn("state", F.when(inserts, "insert").when(F.col("survives") & (F.col("f") != "") & (F.col("url") != ""), "candidate").otherwise("duplicate"))
     targets = old.where("url = '' AND h <> ''").select("h", F.col("id").alias("target_id"), F.lit(0).alias("late"), F.lit(0).cast("bigint").alias("o"))
     targets = targets.unionAll(judged.where("state = 'insert' AND url = '' AND h <> ''").select("h", "id", F.lit(1), F.col("ord").cast("bigint")))
