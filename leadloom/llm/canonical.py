@@ -49,6 +49,13 @@ def copies(df: DataFrame, key: str, fields: Sequence[Column]) -> DataFrame:
     return copy_sets(hashed(df, key, fields)).select("keep_id", "copies")
 
 
+def copy_members(df: DataFrame, key: str, fields: Sequence[Column]) -> DataFrame:
+    """(id, keep_id): each row that has copies with the smallest id of its set: what pairs say, one row a record. Null ids have no row."""
+    rows = hashed(df, key, fields)
+    many = copy_sets(rows).where("copies > 1").drop("copies")
+    return rows.where("id IS NOT NULL").join(many, ["h1", "h2", "check"]).select("id", "keep_id").distinct()
+
+
 def copy_pairs(df: DataFrame, key: str, fields: Sequence[Column]) -> DataFrame:
     """(id_a, id_b) of rows whose canonical fields agree, id_a < id_b. Empty fields agree with empty ones.
 

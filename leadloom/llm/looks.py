@@ -159,15 +159,33 @@ def looks(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.mapInArrow(functools.partial(_forms, alike=confusables(df.sparkSession)), "id string, field string, look string, value string")
 
 
+def _hashed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    return looks(df, key, fields).select("id", "field", *hash128(F.concat_ws("\x1f", "field", "look")), F.xxhash64("value").alias("v"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The looks that several values have, each with the smallest id of a row that has it."""
+    ends = rows.groupBy("h1", "h2").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("id").alias("class_id"))
+    return ends.where("lo <> hi").select("h1", "h2", "class_id")
+
+
+def look_classes(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(id, field, class_id): each row whose value in a field looks like another value, with the smallest id of those that look so.
+
+    What `look_alikes` says in pairs, one row a record and field; null ids have no row.
+    """
+    rows = _hashed(df, key, fields)
+    return rows.where("id IS NOT NULL").join(_shared(rows), ["h1", "h2"]).select("id", "field", "class_id").distinct()
+
+
 def look_alikes(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id_a, id_b, field): rows whose values in a field look the same but are not the same string; id_a < id_b.
 
     Equal strings never meet: the distinct values of a look are counted first (combined before the exchange), only looks
     with two values or more go on, their values pair, and the pairs are then given their rows.
     """
-    rows = looks(df, key, fields).select("id", "field", *hash128(F.concat_ws("\x1f", "field", "look")), F.xxhash64("value").alias("v"))
-    shared = rows.groupBy("h1", "h2").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("h1", "h2")
-    kept = cut(rows.join(shared, ["h1", "h2"], "left_semi"))
+    rows = _hashed(df, key, fields)
+    kept = cut(rows.join(_shared(rows), ["h1", "h2"], "left_semi"))
     values = kept.select("h1", "h2", "v").distinct()
     pairs = values.alias("a").join(values.alias("b"), ["h1", "h2"]).where("a.v < b.v").select("h1", "h2", F.col("a.v").alias("va"), F.col("b.v").alias("vb"))
     left = kept.select("h1", "h2", "field", F.col("id").alias("x"), F.col("v").alias("va"))

@@ -33,6 +33,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.look_alikes(table(spark, sf_dir, "companies"), "id", ["name", "phone", "address"])
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return looks.look_classes(table(spark, sf_dir, "companies"), "id", ["name", "phone", "address"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = table(spark, sf_dir, "sheet_row").where(F.col("id").isNull())
     stored = {c: F.col(c) for c in ("name", "industry", "area", "phone", "address")}
@@ -61,6 +65,10 @@ def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.copies(table(spark, sf_dir, "companies"), "id", _urls())
 
 
+def p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.copy_members(table(spark, sf_dir, "companies"), "id", _urls())
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -86,7 +94,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_names, p2_fields, p3_found, p4_found, p5_found, p6_found, p7_found, p7_copies, p8_ids, p8_decoded, p9_found, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p2_found, p2_names, p2_fields, p3_found, p3_classes, p4_found, p5_found, p6_found, p7_found, p7_copies, p7_members, p8_ids, p8_decoded, p9_found, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:

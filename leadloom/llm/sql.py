@@ -2,7 +2,14 @@
 
 import unicodedata
 
-from leadloom.llm.looks import ALIKE, PLACEHOLDERS, one_form
+# Fixed values, written here again so that the SQL doesn't lean on the operator's: characters drawn alike, values that stand for none.
+_ALIKE = [
+    "-‐‑‒–—―−⁃－ーｰ一", "〇○◯",
+    "オ才", "タ夕", "ト卜", "ロ口", "ハ八", "ヘへ", "ベべ", "ペぺ", "ニ二", "エ工", "カ力", "ノ丿", "ヒ匕", "ム厶", "日曰",
+    "AΑА", "BΒВ", "CСϹ", "EΕЕ", "HΗН", "IΙІ", "JЈ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "SЅ", "TΤТ", "XΧХ", "YΥҮ", "ZΖ",
+    "aа", "cсϲ", "eе", "hһ", "iі", "jј", "oοо", "pр", "sѕ", "vν", "xх", "yу",
+]
+_PLACEHOLDERS = "'', '-', 'なし', '無し', '無', '非公開', '不明', '未定', '未設定', 'フォームのみ', 'フォームより', 'none', 'null', 'n/a', 'na', 'unknown'"
 
 _L = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
 
@@ -64,22 +71,23 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw ON dw.s = iw.s
 
 def _look(c: str) -> str:
     radicals = [chr(k) for k in range(0x2F00, 0x2FD6)]
-    alike = {x: g[0] for g in ALIKE for x in g[1:] if x != g[0]}
+    alike = {x: g[0] for g in _ALIKE for x in g[1:] if x != g[0]}
     c = rf"regexp_replace(regexp_replace({c}, '\p{{Cf}}', '', 'g'), '[\p{{Z}}\s\x{{0B}}\x{{85}}]', ' ', 'g')"
     c = f"translate({_one_width(c)}, '{''.join(radicals)}', '{''.join(unicodedata.normalize('NFKC', k) for k in radicals)}')"
     return f"trim(nfc_normalize(translate({c}, '{''.join(alike)}', '{''.join(alike.values())}')), ' ')"
 
 
-_PLACEHOLDERS = ", ".join("'" + one_form(p).casefold() + "'" for p in PLACEHOLDERS)
+_NO_VALUE = [_look(v.strip()) for v in _PLACEHOLDERS.split(",")]
 _DIGITS = r"regexp_replace(regexp_replace(regexp_replace(look, '[^0-9+]', '', 'g'), '^\+81', '0'), '\+', '', 'g')"
-_P3 = rf"""
+_CASES = rf"""
 WITH v AS (SELECT id, 'name' AS field, name AS value FROM companies UNION ALL SELECT id, 'phone', phone FROM companies UNION ALL SELECT id, 'address', address FROM companies),
 l AS (SELECT id, field, value, {_look('value')} AS look FROM v WHERE value IS NOT NULL),
-c AS (SELECT * FROM l WHERE lower(look) NOT IN ({_PLACEHOLDERS})
+c AS (SELECT * FROM l WHERE lower(look) NOT IN ({", ".join(_NO_VALUE)})
   AND (field <> 'phone' OR (regexp_matches({_DIGITS}, '^[0-9]{{10,11}}$') AND regexp_matches({_DIGITS}, '[1-9]')))
   AND (field <> 'address' OR regexp_matches(regexp_replace(look, '^[〒T]?\s*[0-9]{{3}}[-ー ]?[0-9]{{4}}\s*', ''), '^[^0-9\s]+[0-9]')))
-SELECT DISTINCT a.id AS id_a, b.id AS id_b, a.field FROM c a JOIN c b ON a.field = b.field AND a.look = b.look AND a.value <> b.value AND a.id < b.id
 """
+_P3 = _CASES + "SELECT DISTINCT a.id AS id_a, b.id AS id_b, a.field FROM c a JOIN c b ON a.field = b.field AND a.look = b.look AND a.value <> b.value AND a.id < b.id"
+
 
 _SHARED = """
 WITH g AS (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS i FROM documents WHERE length(text) >= 120),
@@ -132,9 +140,11 @@ SQL = {
     "p10_shared": _SHARED,
     "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "p3_found": _P3,
+    "p3_classes": _CASES + "SELECT DISTINCT c.id, c.field, m.class_id FROM c JOIN (SELECT field, look, min(id) AS class_id FROM c GROUP BY field, look HAVING count(DISTINCT value) > 1) m ON m.field = c.field AND m.look = c.look",
     "p9_found": _P9,
     "p10_found": _P10,
     "p2_found": _P2,
     "p7_found": _COPIES + " SELECT a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.k = b.k AND a.id < b.id",
+    "p7_members": _COPIES + " SELECT id, min(id) OVER (PARTITION BY k) AS keep_id FROM c QUALIFY count(*) OVER (PARTITION BY k) > 1",
     "p7_copies": _COPIES + " SELECT min(id) AS keep_id, count(*) AS copies FROM c GROUP BY k",
 }

@@ -82,7 +82,11 @@ class Profile:
         """Aligns another profile's columns to these by the votes they share, and adds its votes."""
         a, b = self.columns, other.columns
         n, m = len(a), len(b)
-        shared = [[sum(w * x[t] for t, w in y.items() if t and t in x) for y in b] for x in a]
+        if all(len(y) == 1 for y in b):  # a single value's
+            single = [next(iter(y.items())) for y in b]
+            shared = [[x[t] * w if t in x else 0.0 for t, w in single] for x in a]
+        else:
+            shared = [[sum(w * x[t] for t, w in y.items() if t and t in x) for y in b] for x in a]
         best = [[0.0] * (m + 1) for _ in range(n + 1)]
         for i in range(n - 1, -1, -1):
             row, below, votes = best[i], best[i + 1], shared[i]
