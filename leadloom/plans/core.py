@@ -10,7 +10,7 @@ from leadloom.functions import contact, html, lists, urls
 from leadloom.functions.text import missing
 from leadloom.operators import catalog, classify, dedup, limits, pages, reports, runs, search
 from leadloom.sources import export
-from leadloom.sources.tables import table
+from leadloom.sources.tables import spread, table
 
 NOW = "2026-07-01 00:00:00"
 HIGH, MIDDLE = ["港区", "中央区", "広島市"], ["長野市", "静岡市"]
@@ -39,7 +39,7 @@ def _html(c: str = "c") -> Column:
 
 def url_keys(spark, d):
     f, h = F.col("form_url"), F.col("hp_url")
-    return _companies(spark, d).select(
+    return spread(_companies(spark, d), "id").select(
         "id", urls.store_key(f).alias("store_key"), urls.page_key(f).alias("page_key"), urls.host_key(h).alias("host"), urls.raw_host(h).alias("raw_host"),
         urls.without_tracking(f).alias("stripped"), urls.link_key(f).alias("link_key"), urls.display(f).alias("display"), urls.tried_path(f).alias("tried_path"),
     )
@@ -337,17 +337,17 @@ def upserted_types(spark, d):
 
 def document_contacts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", contact.email(t).alias("email"), contact.phone(t).alias("phone"), contact.postal_address(t).alias("address"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", contact.email(t).alias("email"), contact.phone(t).alias("phone"), contact.postal_address(t).alias("address"))
 
 
 def page_texts(spark, d):
     h = _html()
-    return _companies(spark, d).select("id", html.title(h).alias("title"), html.visible_text(h).alias("text"), html.headings(h).alias("headings"), html.short_text(h, 80).alias("short"))
+    return spread(_companies(spark, d), "id").select("id", html.title(h).alias("title"), html.visible_text(h).alias("text"), html.headings(h).alias("headings"), html.short_text(h, 80).alias("short"))
 
 
 def page_contacts(spark, d):
     h = F.col("html")
-    facts = pages.structured_facts(_companies(spark, d).select("id", _html().alias("html")), "id").select("*", contact.first_email(h).alias("first_email"), contact.first_phone(h).alias("first_phone"), F.size(contact.fax_numbers(h)).cast("bigint").alias("faxes"))
+    facts = pages.structured_facts(spread(_companies(spark, d), "id").select("id", _html().alias("html")), "id").select("*", contact.first_email(h).alias("first_email"), contact.first_phone(h).alias("first_phone"), F.size(contact.fax_numbers(h)).cast("bigint").alias("faxes"))
     return pages.contacts(facts, "id", "first_email", "first_phone", "faxes")
 
 
@@ -366,11 +366,11 @@ def _structured_html() -> Column:
 
 
 def structured_contacts(spark, d):
-    return pages.contacts(pages.structured_facts(_companies(spark, d).select("id", _structured_html().alias("html")), "id"), "id")
+    return pages.contacts(pages.structured_facts(spread(_companies(spark, d), "id").select("id", _structured_html().alias("html")), "id"), "id")
 
 
 def _facts(spark, d, keep_html=True):
-    return pages.page_facts(_companies(spark, d).select("id", F.coalesce("hp_url", F.lit("")).alias("url"), _html().alias("html")), "id", keep_html=keep_html)
+    return pages.page_facts(spread(_companies(spark, d), "id").select("id", F.coalesce("hp_url", F.lit("")).alias("url"), _html().alias("html")), "id", keep_html=keep_html)
 
 
 def page_links(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import html as H
 from leadloom.operators import pages
 from leadloom.sources import readers
-from leadloom.sources.tables import table
+from leadloom.sources.tables import spread, table
 
 _LONG = "<p>" + "当院は地域の皆さまに寄り添う施設です。" * 20 + "</p>"
 _FORM = '<form method="post"><input type="text" name="name"><input type="email" name="mail"><textarea name="body"></textarea><input type="submit"></form>'
@@ -56,7 +56,7 @@ def _kinds(spark: SparkSession, d: str) -> DataFrame:
     """(id, kind, url): the companies with their kind of site; one kind is a booking service's own page."""
     kind = F.ascii(F.substring("id", -1, 1)) % len(HOMES)
     own = F.concat(F.lit("https://www."), F.replace("id", F.lit("_"), F.lit("-")), F.lit(".example/"))
-    return table(spark, d, "companies").select("id", kind.alias("kind"), F.when(kind == 7, F.concat(F.lit("https://coubic.com/"), "id")).otherwise(own).alias("url"))
+    return spread(table(spark, d, "companies"), "id").select("id", kind.alias("kind"), F.when(kind == 7, F.concat(F.lit("https://coubic.com/"), "id")).otherwise(own).alias("url"))
 
 
 def _homes(spark: SparkSession, d: str) -> DataFrame:

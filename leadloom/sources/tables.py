@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scanned table over all cores, where its files come in fewer splits than half of them: for steps that compute much a row.
+
+    The rows are dealt out by the hash of unique keys. A larger table has splits enough and is left as it is. Only for
+    scans and what is selected from them: the splits of a plan with exchanges aren't known before it runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores, *keys)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
