@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import address, canonical, encode, history, leak, looks, names, spans, survivor
 from leadloom.llm.sql import SQL
-from leadloom.sources.tables import table
+from leadloom.sources.tables import spread, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,27 +30,27 @@ def p2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return looks.look_alikes(table(spark, sf_dir, "companies"), "id", ["name", "phone", "address"])
+    return looks.look_alikes(spread(table(spark, sf_dir, "companies"), "id"), "id", ["name", "phone", "address"])
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return looks.look_classes(table(spark, sf_dir, "companies"), "id", ["name", "phone", "address"])
+    return looks.look_classes(spread(table(spark, sf_dir, "companies"), "id"), "id", ["name", "phone", "address"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = table(spark, sf_dir, "sheet_row").where(F.col("id").isNull())
     stored = {c: F.col(c) for c in ("name", "industry", "area", "phone", "address")}
     hand = {"name": F.col("会社名"), "industry": F.col("業種"), "area": F.col("エリア"), "phone": F.col("電話番号"), "address": F.col("住所")}
-    return names.same_organisations(table(spark, sf_dir, "companies"), typed, "id", "row_no", stored, hand)
+    return names.same_organisations(spread(table(spark, sf_dir, "companies"), "id"), typed, "id", "row_no", stored, hand)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.repeats(table(spark, sf_dir, "companies"), table(spark, sf_dir, "company_batches"), "id", {"form": "form_url", "home": "hp_url"}, "ord")
+    return history.repeats(spread(table(spark, sf_dir, "companies"), "id"), spread(table(spark, sf_dir, "company_batches"), "id"), "id", {"form": "form_url", "home": "hp_url"}, "ord")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = table(spark, sf_dir, "sheet_row").where(F.col("id").isNull())
-    return address.same_places(table(spark, sf_dir, "companies"), typed, "id", "row_no", "address", "住所")
+    return address.same_places(spread(table(spark, sf_dir, "companies"), "id"), typed, "id", "row_no", "address", "住所")
 
 
 def _urls() -> list:
@@ -70,7 +70,7 @@ def p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.encode(table(spark, sf_dir, "documents"), "doc_id")
+    return encode.encode(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
 
 
 def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
