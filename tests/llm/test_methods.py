@@ -69,6 +69,15 @@ def test_no_name_is_dropped():
     assert names.parse("株式会社山田太郎法律事務所") [:3] == names.parse("山田太郎法律事務所")[:3]
 
 
+def test_parts_run_together():
+    want = {
+        "医療法人DCNishinoUokisa": ("nishino", "uokisa", "歯科"), "MinamimiyaSUNEYATA歯科医院": ("minamimiya", "suneyata", "歯科"), "りほはしきたぞの歯科クリニック": ("kitazono", "rihohashi", "歯科"),
+        "梅台八口ノネへアサ口ン一般社団法人": ("umedai", "haronone", "美容室"), "合同会社Tsukitani建設アロ": ("tsukitani", "aro", "工務店"), "梅門才二八工 珈琲店": ("umekado", "onihae", "カフェ"),
+        "FujihashiKITOHAI有限会社": ("fujihashi", "kitohai", ""), "えさせね ヘアサロン": ("", "esasene", "美容室"),
+    }
+    assert {t: names.parse(t)[:3] for t in want} == want
+
+
 def test_a_phone_of_many_organisations(spark):
     """A place-holder's number that very many have: met through the names."""
     cols = "name string, industry string, area string, phone string, address string"
