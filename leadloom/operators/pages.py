@@ -283,25 +283,30 @@ _RESERVE = r"(?iu)予約フォーム|ご予約フォーム|ネット予約|来
 _ASKS = r"(?iu)お問い合わせ|ご連絡|ご相談|お問合|inquiry|contact us|contact form|ご質問|お問い合わせ内容|お問合せ内容|メッセージ内容|ご意見"
 _ASKS_SHORT = r"(?iu)お問い合わせ|ご連絡|ご相談|お問合|inquiry|contact us|contact form|ご質問|お問い合わせ内容|ご相談フォーム"
 
+# Fields and buttons of a form, by their attributes.
+_USER_INPUT = r"""(?i)<input[^>]+type=["']?(text|email|tel|number|search|url)"""
+_PASSWORD = r"""(?i)type=["']?password"""
+_NAME_INPUT = r"""(?iu)<input[^>]+(name|id)=["']?(?:name|your[_-]?name|お名前|namae)"""
+_MAIL_INPUT, _TEL_INPUT, _TEXT_INPUT, _IMAGE_INPUT = (rf"""(?iu)<input[^>]+type=["']?{t}""" for t in ("email", "tel", "text", "image"))
+_MAIL_LIKE_INPUT = r"""(?iu)<input[^>]+(name|id)=["']?(?:e-?mail|mail|メール|your.?mail|your.?email|yourmail)"""
+_SUBMIT = r"""(?i)<(input|button)[^>]*type=["']?submit"""
+_BUTTON = r"""(?i)<button(?![^>]*type=["']?(?:button|reset)["'])[^>]*>"""
+
 
 def form_is_inquiry(window: Column) -> Column:
     """Whether the text around a form (800 characters before its tag, 5000 after) shows a form for inquiries. [CL-10]"""
     asks = window.rlike(_INQUIRY)
-    user = window.rlike(r"""(?i)<input[^>]+type=["']?(text|email|tel|number|search|url)""") | window.rlike("(?i)textarea")
-    refused = window.rlike(r"""(?i)type=["']?password""") | window.rlike(_COMMENT_BOX)
+    user = window.rlike(_USER_INPUT) | window.rlike("(?i)textarea")
+    refused = window.rlike(_PASSWORD) | window.rlike(_COMMENT_BOX)
     topical = window.rlike(_SEATS) & window.rlike(_ATTEND)
     for pattern in FORM_KINDS.values():
         topical |= window.rlike(pattern)
     at = F.instr(F.lower(window), "<form")
     inside = F.when(at > 0, F.substring(window, at, F.length(window))).otherwise(window)
     tight = F.when(at > 1, F.substring(window, F.greatest(at - 200, F.lit(1)), at - F.greatest(at - 200, F.lit(1)))).otherwise("")
-    field = lambda p: window.rlike(rf"""(?iu)<input[^>]+{p}""")
-    name = field(r"""(name|id)=["']?(?:name|your[_-]?name|お名前|namae)""")
-    mail, tel, text = (field(rf"""type=["']?{t}""") for t in ("email", "tel", "text"))
-    mail_like = field(r"""(name|id)=["']?(?:e-?mail|mail|メール|your.?mail|your.?email|yourmail)""")
-    submit = window.rlike(r"""(?i)<(input|button)[^>]*type=["']?submit""")
-    sends = submit | field(r"""type=["']?image""") | window.rlike(r"""(?i)<button(?![^>]*type=["']?(?:button|reset)["'])[^>]*>""")
-    two_texts = F.size(F.regexp_extract_all(window, F.lit(r"""(?i)<input[^>]+type=["']?text"""), F.lit(0))) >= 2
+    name, mail, tel, text, mail_like, submit = (window.rlike(p) for p in (_NAME_INPUT, _MAIL_INPUT, _TEL_INPUT, _TEXT_INPUT, _MAIL_LIKE_INPUT, _SUBMIT))
+    sends = submit | window.rlike(_IMAGE_INPUT) | window.rlike(_BUTTON)
+    two_texts = F.size(F.regexp_extract_all(window, F.lit(_TEXT_INPUT), F.lit(0))) >= 2
     area = window.rlike("(?i)textarea") & (inside.rlike(_ASKS) | tight.rlike(_ASKS) | (name & mail) | (text & mail & sends) | (sends & two_texts & mail_like) | (sends & tel & name))
     reserves = window.rlike("(?i)textarea") & window.rlike(_RESERVE) & ~asks
     bare = (mail | tel) & submit & inside.rlike(_ASKS_SHORT)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import urls
 from leadloom.functions.text import missing, or_else
+from leadloom.operators.ranks import rank_in_group
 
 
 def newest(df: DataFrame, at: str = "created_at", most: int | None = None) -> DataFrame:
@@ -71,10 +72,9 @@ def camel(df: DataFrame) -> DataFrame:
 def payloads(df: DataFrame, group: str, order: str, fields: Sequence[str], size: int = 1000) -> DataFrame:
     """(group, part, n, items): each group's rows in order as arrays of at most `size`, numbered from 0. [PR-07]
 
-    A group is cut at every `size` rows of its order, so none has to fit into one array; the rank is a window over the group's rows.
+    A group is cut at every `size` rows of its order, so none has to fit into one array or to be read by one task.
     """
-    rank = F.row_number().over(W.partitionBy(group).orderBy(order, *fields)) - 1
-    numbered = df.withColumn("part", F.floor(rank / size))
+    numbered = rank_in_group(df.select(group, order, *fields), group, [order, *fields], "_rank").withColumn("part", F.floor((F.col("_rank") - 1) / size))
     rows = numbered.groupBy(group, "part").agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("items"))
     return rows.select(group, "part", F.size("items").cast("bigint").alias("n"), "items")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leadloom.operators.ranks import global_rank
+
 GOOD = ["success", "completed"]
 
 
@@ -80,9 +82,9 @@ def success_share(runs: DataFrame, newest: int = 10) -> DataFrame:
 def queue_position(jobs: DataFrame, waiting: str = "waiting") -> DataFrame:
     """(id, position): the place of each waiting job by time of creation, 0 for the others. [WN-02]
 
-    The rank is global by nature; only the waiting jobs, an operational queue, go through it.
+    The waiting jobs are ranked in ranges, so a long queue isn't read by one task.
     """
-    ranked = jobs.where(F.col("status") == waiting).select("id", F.row_number().over(W.orderBy("created_at", "id")).alias("position"))
+    ranked = global_rank(jobs.where(F.col("status") == waiting).select("id", "created_at"), ["created_at", "id"], "position").select("id", "position")
     return jobs.select("id").join(ranked, "id", "left").select("id", F.coalesce("position", F.lit(0)).cast("bigint").alias("position"))
 
 

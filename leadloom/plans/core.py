@@ -24,6 +24,11 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "project_runs")
 
 
+def _first_ids(df: DataFrame, column: str, n: int) -> list[str]:
+    """The `n` smallest ids of a column: what a query asks for, whatever the data."""
+    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(n).collect()]
+
+
 def _html(c: str = "c") -> Column:
     """A company's row as a small home page."""
     x = lambda n: F.coalesce(F.col(n), F.lit(""))
@@ -85,8 +90,7 @@ def grid_counts(spark, d):
 
 
 def grid_in_runs(spark, d):
-    ids = ["run-1769927220000-22pl", "run-1769961180000-mvn3"]
-    return catalog.counts(_companies(spark, d), catalog.Filter(run_ids=ids))
+    return catalog.counts(_companies(spark, d), catalog.Filter(run_ids=_first_ids(_companies(spark, d), "run_id", 2)))
 
 
 def facet_industry(spark, d):
@@ -135,7 +139,7 @@ def bulk_update(spark, d):
 
 
 def run_deleted(spark, d):
-    return catalog.deleted(_companies(spark, d), F.col("run_id") == "run-1769927220000-22pl").groupBy("project_id").agg(F.count("*").alias("n"))
+    return catalog.deleted(_companies(spark, d), F.col("run_id").isin(_first_ids(_companies(spark, d), "run_id", 1))).groupBy("project_id").agg(F.count("*").alias("n"))
 
 
 def pruned(spark, d):
@@ -476,11 +480,11 @@ def oldest_unsent(spark, d):
 
 
 def run_lookup(spark, d):
-    return reports.lookup(_runs(spark, d), "project_id", "proj-20260105-001", "created_at").select("id", "project_id")
+    return reports.lookup(_runs(spark, d), "project_id", _first_ids(_runs(spark, d), "project_id", 1)[0], "created_at").select("id", "project_id")
 
 
 def runs_of_project(spark, d):
-    return reports.of_parent(_runs(spark, d), "project_id", "proj-20260113-002").select("id", "created_at")
+    return reports.of_parent(_runs(spark, d), "project_id", _first_ids(_runs(spark, d), "project_id", 2)[1]).select("id", "created_at")
 
 
 def queue_idle(spark, d):

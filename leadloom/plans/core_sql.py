@@ -281,7 +281,7 @@ SQL = {
     "grid_page": "SELECT id, name, area, form_url FROM companies WHERE industry = '歯科' AND coalesce(form_url, '') <> '' ORDER BY name ASC NULLS LAST, id LIMIT 50 OFFSET 50",
     "grid_search": "SELECT id, name, phone FROM companies WHERE status = '未送信' AND coalesce(phone, '') <> '' AND contains(lower(concat_ws(chr(31), name, hp_url, form_url, phone, email, address, notes)), 'hair')",
     "grid_counts": "SELECT count(*) AS total, count(*) FILTER (coalesce(form_url, '') <> '') AS forms, count(*) FILTER (coalesce(phone, '') <> '') AS phones, count(*) FILTER (coalesce(email, '') <> '') AS emails FROM companies WHERE area = '東京都'",
-    "grid_in_runs": "SELECT count(*) AS total, count(*) FILTER (coalesce(form_url, '') <> '') AS forms, count(*) FILTER (coalesce(phone, '') <> '') AS phones, count(*) FILTER (coalesce(email, '') <> '') AS emails FROM companies WHERE run_id IN ('run-1769927220000-22pl', 'run-1769961180000-mvn3')",
+    "grid_in_runs": "SELECT count(*) AS total, count(*) FILTER (coalesce(form_url, '') <> '') AS forms, count(*) FILTER (coalesce(phone, '') <> '') AS phones, count(*) FILTER (coalesce(email, '') <> '') AS emails FROM companies WHERE run_id IN (SELECT DISTINCT run_id FROM companies WHERE run_id IS NOT NULL ORDER BY run_id LIMIT 2)",
     "facet_industry": "SELECT DISTINCT industry AS value FROM companies WHERE coalesce(industry, '') <> ''",
     "facet_area": "SELECT DISTINCT area AS value FROM companies WHERE coalesce(area, '') <> ''",
     "status_counts": f"SELECT {_or('status', _q('不明'))} AS value, count(*) AS n FROM companies GROUP BY 1",
@@ -294,7 +294,7 @@ SQL = {
     "localised_rows": f"SELECT id, {_LOCAL} FROM companies",
     "imported_rows": """SELECT coalesce("会社名", '') AS name, "フォームURL" AS form_url, coalesce(nullif("ステータス", ''), '未送信') AS status, coalesce("実行ID", '') AS run_id, true AS imported_from_sheets FROM sheet_row WHERE coalesce("フォームURL", '') <> ''""",
     "bulk_update": "SELECT CASE WHEN industry = 'カフェ' THEN 'スキップ' ELSE status END AS status, count(*) AS n FROM companies GROUP BY 1",
-    "run_deleted": "SELECT project_id, count(*) AS n FROM companies WHERE run_id IS DISTINCT FROM 'run-1769927220000-22pl' GROUP BY 1",
+    "run_deleted": "SELECT project_id, count(*) AS n FROM companies WHERE run_id IS DISTINCT FROM (SELECT min(run_id) FROM companies) GROUP BY 1",
     "pruned": f"SELECT id FROM companies WHERE NOT coalesce({_AT} < TIMESTAMPTZ '2026-04-01 00:00:00+00' AND status IN ('送信済み', 'スキップ', 'エラー'), false)",
     "collected_at": f"SELECT id, coalesce(epoch_ms({_AT}), -1) AS ms FROM companies",
     "csv_lines": "SELECT id, " + " || ',' || ".join(f"'\"' || replace(coalesce({c}, ''), '\"', '\"\"') || '\"'" for c in lists.LOCALISED.values()) + " AS line FROM companies",
@@ -386,8 +386,8 @@ SQL = {
     "event_props": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events",
     "newest_projects": "SELECT id, created_at FROM projects ORDER BY created_at DESC NULLS LAST, id LIMIT 20",
     "oldest_unsent": "SELECT id, collected_at FROM companies WHERE status = '未送信' ORDER BY collected_at ASC NULLS LAST, id LIMIT 25",
-    "run_lookup": "SELECT id, project_id FROM project_runs WHERE project_id = 'proj-20260105-001' ORDER BY created_at DESC NULLS LAST, id LIMIT 1",
-    "runs_of_project": "SELECT id, created_at FROM project_runs WHERE project_id = 'proj-20260113-002'",
+    "run_lookup": "SELECT id, project_id FROM project_runs WHERE project_id = (SELECT min(project_id) FROM project_runs) ORDER BY created_at DESC NULLS LAST, id LIMIT 1",
+    "runs_of_project": "SELECT id, created_at FROM project_runs WHERE project_id = (SELECT DISTINCT project_id FROM project_runs WHERE project_id IS NOT NULL ORDER BY project_id LIMIT 1 OFFSET 1)",
     "queue_idle": "SELECT count(*) FILTER (status IN ('running', 'pending')) = 0 AS idle FROM project_runs",
     "sheet_hosts": f"SELECT DISTINCT host FROM (SELECT {_host_key('"HP URL"')} AS host FROM sheet_row) WHERE host <> ''",
     "full_pages": "SELECT project_id, id, coalesce(raw_search_count, 0) AS size FROM project_runs QUALIFY coalesce(max(CASE WHEN coalesce(raw_search_count, 0) < 600 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0",

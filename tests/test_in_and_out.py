@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import catalog, pages, reports, runs, search
+from leadloom.operators import catalog, pages, ranks, reports, runs, search
 from leadloom.sources import export, readers, tables
 
 
@@ -42,6 +42,17 @@ def test_payloads_are_bounded(spark):
     assert reports.payloads(df.where("false"), "run_id", "id", ["name"]).count() == 0
 
 
+def test_ranks(spark):
+    rows = [("a", i % 7, i) for i in range(300)] + [(None, None, 1), (None, 2, 2), ("b", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, x int, i int").repartition(5)
+    got = sorted((r["rank"], r["x"], r["i"]) for r in ranks.global_rank(df, ["x", "i"]).collect())
+    want = sorted(((x, i) for _, x, i in rows), key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+    assert [(x, i) for _, x, i in got] == want and [n for n, *_ in got] == list(range(1, len(rows) + 1))
+    inside = {(r["g"], r["x"], r["i"]): r["rank"] for r in ranks.rank_in_group(df, "g", ["x", "i"]).collect()}
+    assert inside[None, None, 1] == 1 and inside[None, 2, 2] == 2 and inside["b", 1, 1] == 1 and sorted(n for (g, *_), n in inside.items() if g == "a") == list(range(1, 301))
+    assert ranks.global_rank(df.where("false"), ["x"]).count() == 0
+
+
 def test_results_up_to_a_limit(spark):
     df = spark.createDataFrame([(q, i) for q in ("a", None) for i in range(50)] + [("b", 0)], "q string, i int")
     n = lambda limit: {r["q"]: r["n"] for r in search.capped_results(df, ["q"], "i", F.lit(limit)).groupBy("q").agg(F.count("*").alias("n")).collect()}
