@@ -14,6 +14,13 @@ from leadloom.sources.tables import table
 SF = "/root/testdata/sf0.01"
 
 
+# a vocabulary nothing was fitted to
+
+SURNAMES = "佐藤 鈴木 渡辺 伊藤 中村 小林 加藤 吉田 佐々木 斎藤 渋谷 恵比寿 目黒 品川 新宿 池袋 上野 浅草 横浜 川越".split()
+WORDS = "サクラ ヤマト ミライ アオゾラ ヒマワリ ツバサ ノゾミ カナデ イブキ ホノカ マコト ユメ キズナ ワカバ スバル".split()
+KINDS = "法律事務所 薬局 ベーカリー 幼稚園 動物病院 写真館 書店 農園 酒造 行政書士事務所".split()
+
+
 def counted(tokens):
     counts = np.zeros(COUNTERS, np.int64)
     for t in tokens:
@@ -156,6 +163,41 @@ def test_large_groups_are_treated_like_small_ones(spark):
         assert [r["value"] for r in survivor.consensus(df, "g", "id", "v", parts=parts).collect()] == [word]
 
 
+def misspelt(rng, text):
+    """One token of a text changed, left out, doubled, or added at either end."""
+    tokens = survivor.tokens_of(text)
+    i = rng.randrange(len(tokens))
+    way = rng.randrange(4)
+    if way == 0:
+        tokens[i] = rng.choice(["サロン", "田", "x", "2"])
+    elif way == 1:
+        del tokens[i]
+    elif way == 2:
+        tokens.insert(i, tokens[i])
+    else:
+        tokens.insert(rng.choice([0, len(tokens)]), rng.choice(["本店", "(有)", " ", "様"]))
+    return "".join(tokens)
+
+
+def test_consensus_of_planted_groups(spark):
+    """Groups with a known best spelling: once as it is, the other rows misspelt each in a way of its own; and by recency."""
+    rng = random.Random(31)
+    truth, rows = {}, []
+    for g in range(300):
+        best = f"{rng.choice(['株式会社', '', '合同会社'])}{rng.choice(SURNAMES)}{rng.choice(WORDS)}{rng.choice(WORDS)}{rng.choice(KINDS)}"
+        truth[f"{g:03d}-0"] = best
+        values = [best, *(misspelt(rng, best) for _ in range(rng.randint(2, 6)))]
+        rows += [(f"g{g}", f"{g:03d}-{i}", v, rng.randint(0, 3)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, id string, v string, age int")
+    got = {r["keep_id"]: r["value"] for r in survivor.consensus(df, "g", "id", "v").collect()}
+    right = sum(got[k] == v for k, v in truth.items())
+    print("consensus of planted groups:", right, "of", len(truth))
+    assert right > 0.9 * len(truth)
+    newest = spark.createDataFrame([("g", "1", "03-1111-2222", 0), ("g", "2", "03-1111-2222", 0), ("g", "3", "03-3333-4444", 1)], "g string, id string, v string, t int")
+    pick = lambda w: survivor.consensus(newest, "g", "id", "v", w).first()["value"]
+    assert pick(None) == "03-1111-2222" and pick(F.pow(F.lit(4.0), F.col("t"))) == "03-3333-4444"
+
+
 # leaks
 
 
@@ -171,13 +213,6 @@ def test_items_in_several_blocks(spark):
     assert leak.leaks(a, b.where("false"), "doc_id", "item_id").count() == leak.leaks(a.where("false"), b, "doc_id", "item_id").count() == 0
 
 
-# a vocabulary nothing was fitted to
-
-SURNAMES = "佐藤 鈴木 渡辺 伊藤 中村 小林 加藤 吉田 佐々木 斎藤 渋谷 恵比寿 目黒 品川 新宿 池袋 上野 浅草 横浜 川越".split()
-WORDS = "サクラ ヤマト ミライ アオゾラ ヒマワリ ツバサ ノゾミ カナデ イブキ ホノカ マコト ユメ キズナ ワカバ スバル".split()
-KINDS = "法律事務所 薬局 ベーカリー 幼稚園 動物病院 写真館 書店 農園 酒造 行政書士事務所".split()
-
-
 def spellings(rng, place, word, kind):
     """(way, spelling) of one name, none of whose parts is in any list of the package."""
     slip = list(word)
