@@ -48,7 +48,8 @@ def first_email(html: Column) -> Column:
     """The linked address, else the first in the text unless it is no real sender. [CX-02]"""
     h = F.coalesce(html, F.lit(""))
     linked, plain = F.regexp_extract(h, rf"(?i)mailto:({lists.MAIL})", 1), F.regexp_extract(h, rf"(?i)({lists.MAIL})", 1)
-    return or_else(linked, F.when(plain.rlike("(?i)noreply|no-reply|example|test"), "").otherwise(plain))
+    sender = let(plain, lambda p: F.when(p.rlike("(?i)noreply|no-reply|example|test"), "").otherwise(p))
+    return F.when(F.contains(h, F.lit("@")), first_given(linked, sender)).otherwise(F.lit(""))
 
 
 def half_width(c: Column) -> Column:
@@ -124,7 +125,8 @@ def item_phone(html: Column) -> Column:
     h = F.coalesce(html, F.lit(""))
     before = F.regexp_extract(h, r"""(?i)>([^<]+)<[^>]+itemprop=["']telephone["']""", 1)
     after = F.regexp_extract(h, r"""(?i)itemprop=["']telephone["'][^>]*>([^<]+)<""", 1)
-    return let(_trim(first_given(after, before)), lambda t: F.when(_digits(t).rlike("^0[0-9]{9,10}$"), t).otherwise(""))
+    found = let(_trim(first_given(after, before)), lambda t: F.when(_digits(t).rlike("^0[0-9]{9,10}$"), t).otherwise(""))
+    return F.when(h.rlike("(?i)itemprop"), found).otherwise(F.lit(""))
 
 
 def item_address(html: Column) -> Column:
@@ -134,7 +136,8 @@ def item_address(html: Column) -> Column:
     code = let(_item(h, "postalCode"), lambda c: F.when(c != "", F.concat(F.lit("〒"), F.regexp_replace(c, "^〒", ""))).otherwise(""))
     parts = F.filter(F.array(code, *(_item(h, n) for n in ("addressRegion", "addressLocality", "streetAddress"))), lambda x: x != "")
     joined = let(parts, lambda p: F.when(F.size(p) >= 2, F.array_join(p, " ")).otherwise(""))
-    return let(flat, lambda f: F.when(f != "", _trim(F.regexp_replace(f, r"[\s\x{3000}\x{A0}]+", " "))).otherwise(joined))
+    found = let(flat, lambda f: F.when(f != "", _trim(F.regexp_replace(f, r"[\s\x{3000}\x{A0}]+", " "))).otherwise(joined))
+    return F.when(h.rlike("(?i)itemprop"), found).otherwise(F.lit(""))
 
 
 def page_phone(html: Column, structured: Column) -> Column:

@@ -36,5 +36,5 @@ def let(c: Column, use) -> Column:
 
 
 def first_given(*columns: Column) -> Column:
-    """The first text that isn't '', each computed once; '' if there is none."""
-    return F.coalesce(F.try_element_at(F.filter(F.array(*columns), lambda x: x != ""), F.lit(1)), F.lit(""))
+    """The first text that isn't '', '' if there is none. Each is computed once, and only if those before are ''."""
+    return F.coalesce(*(let(c, lambda v: F.when(v != "", v)) for c in columns), F.lit(""))
