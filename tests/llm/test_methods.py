@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import address, leak, looks, names, survivor
+from leadloom.llm import address, history, leak, looks, names, survivor
 from leadloom.llm.pairs import COUNTERS, Rarity
 from leadloom.sources.tables import table
 
@@ -198,6 +198,27 @@ def test_consensus_of_planted_groups(spark):
     assert pick(None) == "03-1111-2222" and pick(F.pow(F.lit(4.0), F.col("t"))) == "03-3333-4444"
 
 
+# history
+
+
+def test_an_index_of_many_buckets(spark, tmp_path, monkeypatch):
+    """Buckets by token and compaction change nothing."""
+    monkeypatch.setattr(history.Index, "BUCKET_ROWS", 3)
+    rng = random.Random(8)
+    url = lambda p: rng.choice(["", None, *(f"https://{p}{i}.example/x" for i in range(15))])
+    schema, kinds = "id string, form_url string, hp_url string, ord bigint", {"form": "form_url", "home": "hp_url"}
+    past = spark.createDataFrame([(f"p{i}", url("f"), url("h"), 0) for i in range(12)], schema)
+    runs = [spark.createDataFrame([(f"b{k}{i}", url("f"), url("h"), 100 * k + i) for i in range(9)], schema) for k in range(2)]
+    want = {tuple(r) for r in history.repeats(past, runs[0].unionAll(runs[1]), "id", kinds, "ord").collect()}
+    index = history.Index.create(past, "id", kinds, str(tmp_path / "a"))
+    got = {tuple(r) for r in index.admit(runs[0], "id", kinds, "ord", "one").collect()}
+    index = index.compacted(str(tmp_path / "b"))
+    got |= {tuple(r) for r in index.admit(runs[1], "id", kinds, "ord", "two").collect()}
+    assert index.buckets > 1 and got == want and want
+    empty = history.Index.create(past.where("false"), "id", kinds, str(tmp_path / "c"))
+    assert empty.admit(runs[0].where("false"), "id", kinds, "ord", "one").count() == 0
+
+
 # leaks
 
 
