@@ -432,16 +432,19 @@ def found_forms(homes: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
     best = cut(best_links(scored_links(link_rows(facts.select(key, "base", "links"), key)), key))
     forms = form_url(facts, best, key).where("form_url IS NOT NULL").select(key, "form_url")
     line = forms.where(F.col("form_url").rlike(lists.LINE_ANYWHERE)).select(key, "form_url", F.lit("line").alias("stage"))
-    own = facts.select(key, "base", "is_shell", F.col("url").alias("home"), is_form_page(F.col("html"), F.col("forms")).alias("own_valid"), has_inline_form(F.col("html")).alias("inline"))
-    primary = forms.join(line.select(key), key, "left_anti").join(own, key)
     at_home = F.col("form_url").isin(F.col("base"), F.col("home"))
-    by_itself = primary.where(at_home & F.col("own_valid")).select(key, F.lit(_STAGES["primary"]).alias("rank"), F.col("form_url").alias("final_url"))
-    first = primary.where(~at_home).select(key, F.lit(_STAGES["primary"]).alias("rank"), F.col("form_url").alias("url"), F.col("base").alias("base_url"), "is_shell")
+    sites = facts.select(key, "base", "is_shell", F.col("url").alias("home"))
+    primary = cut(forms.join(line.select(key), key, "left_anti").join(sites, key).withColumn("at_home", at_home))
+    # of the home pages only those are checked that may be the form's page themselves
+    asked = facts.select(key, "html", "forms", has_inline_form(F.col("html")).alias("inline")).join(primary.select(key, "form_url", "base", "at_home"), key).where("at_home OR inline")
+    own = cut(asked.select(key, "form_url", "base", "at_home", "inline", is_form_page(F.col("html"), F.col("forms")).alias("ok"))).where("ok")
+    by_itself = own.where("at_home").select(key, F.lit(_STAGES["primary"]).alias("rank"), F.col("form_url").alias("final_url"))
+    first = primary.where("NOT at_home").select(key, F.lit(_STAGES["primary"]).alias("rank"), F.col("form_url").alias("url"), F.col("base").alias("base_url"), "is_shell")
     others = best.join(primary.select(key, "form_url", "base", "is_shell"), key).where("url <> form_url").select(key, (F.lit(_STAGES["fallback"]) + F.col("rank")).alias("rank"), "url", F.col("base").alias("base_url"), "is_shell")
     read = page_facts(fetched.withColumn("_page", F.col("url")), "_page").select("url", "html", "forms")
     pages = cut(read.join(fetched.select("url", "final_url", "status_code"), "url"))
     verified = verified_targets(first.unionByName(others), pages, key).where("valid").select(key, "rank", "final_url")
-    inline = primary.where("inline AND own_valid").select(key, F.lit(_STAGES["inline"]).alias("rank"), F.col("base").alias("final_url"))
+    inline = own.where("inline").select(key, F.lit(_STAGES["inline"]).alias("rank"), F.col("base").alias("final_url"))
     won = verified.unionAll(by_itself).unionAll(inline).groupBy(key).agg(F.min(F.struct("rank", "final_url")).alias("w"))
     stage = F.when(F.col("w.rank") == _STAGES["primary"], "primary").when(F.col("w.rank") < _STAGES["inline"], "fallback").otherwise("inline")
     settled = cut(won.select(key, urls.without_tracking(F.col("w.final_url")).alias("form_url"), stage.alias("stage")).unionAll(line))
@@ -454,14 +457,20 @@ def found_forms(homes: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
 
 def probed_forms(facts: DataFrame, best: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """(key, form_url, stage): the first probed path of each site that is a form page. [CL-14, CL-15, WN-06, SL-08]"""
-    tried = best.groupBy(key).agg(F.collect_set(urls.tried_path(F.col("url"))).alias("tried"))
-    sites = facts.withColumn("builder", H.builder(F.col("html"))).join(tried, key, "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<string>")))
-    plan = probe_plan(sites, key, "builder", "tried")
+    tried = best.groupBy(key).agg(F.array_sort(F.collect_set(urls.tried_path(F.col("url")))).alias("tried"))
+    sites = facts.select(key, "base", "is_shell", H.builder(F.col("html")).alias("builder")).join(tried, key, "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<string>")))
+    sites = cut(sites.withColumn("kind", F.xxhash64("builder", "tried")))
+    # a plan for each kind of site, not for each site
+    plan = probe_plan(sites.select("kind", "builder", "tried").dropDuplicates(["kind"]), "kind", "builder", "tried")
     root = F.regexp_extract("base", r"^([^:/?#]+://[^/?#]+)", 1)
-    asked = plan.join(facts.select(key, "base", root.alias("root"), F.col("html").alias("home_html"), "is_shell"), key).withColumn("asked", F.concat("root", "path"))
-    got = asked.join(pages.select(F.col("url").alias("asked"), "final_url", "status_code", "html", "forms"), "asked", "left").withColumn("final", F.coalesce("final_url", "asked"))
+    asked = sites.select(key, "kind", "base", "is_shell", root.alias("root")).join(plan, "kind").withColumn("asked", F.concat("root", "path"))
+    got = cut(asked.join(pages.select(F.col("url").alias("asked"), "final_url", "status_code", "html", "forms"), "asked", "left").withColumn("final", F.coalesce("final_url", "asked")).drop("final_url", "root", "kind"))
+    # the home page is compared with what came back; most probes bring nothing
+    empty = F.coalesce("html", F.lit("")) == ""
+    back = got.where(~empty).join(facts.select(key, F.col("html").alias("home_html")), key)
     why = soft_404({"url": F.col("base"), "html": F.col("home_html")}, {"url": F.col("final"), "html": F.col("html"), "status_code": F.col("status_code"), "asked": F.col("asked")}, F.col("is_shell"))
-    reasons = cut(got.withColumn("why", why).drop("home_html", "base", "root"))
+    nothing = got.where(empty).withColumn("why", F.when(F.col("status_code") >= 500, "neutral").otherwise("error"))
+    reasons = cut(back.withColumn("why", why).drop("home_html").unionByName(nothing))
     judged = before_abort(reasons, key, "ord", F.col("why") != "", counts=F.col("why") != "neutral").where("why = ''")
     shell = F.col("is_shell") & F.lower("path").rlike(lists.CONTACT_PATH) & (F.length(H.short_text(F.col("html"), 1000)) < 800)
     good = judged.where(is_form_page(F.col("html"), F.col("forms")) | shell)

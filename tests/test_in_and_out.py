@@ -1,5 +1,8 @@
 """Control tables, redirects, payloads, limits, configuration, and the staged search for forms: nulls, ties, repeated rows, empty tables."""
 
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators import catalog, pages, ranks, reports, runs, search
@@ -145,6 +148,13 @@ def test_structured_facts(spark):
     assert got == {1: ("a@b.example", "", "東京都", "k"), 2: ("", "", "", "k"), 3: ("", "", "", "k"), 4: ("", "", "", "k")}
 
 
+def test_a_cluster_needs_a_shared_folder():
+    nothing = SimpleNamespace(get=lambda *a: "", isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://x:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: nothing)))
+    with pytest.raises(ValueError):
+        tables.scratch_dir(SimpleNamespace(sparkContext=sc, conf=nothing))
+
+
 def test_scratch_tables(spark):
     assert tables.scratch(spark).startswith(tables.scratch_dir(spark).rstrip("/"))
     held = tables.cut(spark.range(3))
