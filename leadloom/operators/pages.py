@@ -295,22 +295,32 @@ _BUTTON = r"""(?i)<button(?![^>]*type=["']?(?:button|reset)["'])[^>]*>"""
 
 def form_is_inquiry(window: Column) -> Column:
     """Whether the text around a form (800 characters before its tag, 5000 after) shows a form for inquiries. [CL-10]"""
-    asks = window.rlike(_INQUIRY)
-    user = window.rlike(_USER_INPUT) | window.rlike("(?i)textarea")
-    refused = window.rlike(_PASSWORD) | window.rlike(_COMMENT_BOX)
-    topical = window.rlike(_SEATS) & window.rlike(_ATTEND)
+    return let(F.lower(window), _shows_inquiry)
+
+
+def _holds(text: Column, pattern: str) -> Column:
+    """Whether a lower-case text matches a pattern written for any case."""
+    return text.rlike(re.sub(r"^\(\?iu?\)", "", pattern))
+
+
+def _shows_inquiry(window: Column) -> Column:
+    asks = _holds(window, _INQUIRY)
+    area = F.contains(window, F.lit("textarea"))
+    user = area | _holds(window, _USER_INPUT)
+    refused = _holds(window, _PASSWORD) | _holds(window, _COMMENT_BOX)
+    topical = _holds(window, _SEATS) & _holds(window, _ATTEND)
     for pattern in FORM_KINDS.values():
-        topical |= window.rlike(pattern)
-    at = F.instr(F.lower(window), "<form")
+        topical |= _holds(window, pattern)
+    at = F.instr(window, "<form")
     inside = F.when(at > 0, F.substring(window, at, F.length(window))).otherwise(window)
     tight = F.when(at > 1, F.substring(window, F.greatest(at - 200, F.lit(1)), at - F.greatest(at - 200, F.lit(1)))).otherwise("")
-    name, mail, tel, text, mail_like, submit = (window.rlike(p) for p in (_NAME_INPUT, _MAIL_INPUT, _TEL_INPUT, _TEXT_INPUT, _MAIL_LIKE_INPUT, _SUBMIT))
-    sends = submit | window.rlike(_IMAGE_INPUT) | window.rlike(_BUTTON)
+    name, mail, tel, text, mail_like, submit = (_holds(window, p) for p in (_NAME_INPUT, _MAIL_INPUT, _TEL_INPUT, _TEXT_INPUT, _MAIL_LIKE_INPUT, _SUBMIT))
+    sends = submit | _holds(window, _IMAGE_INPUT) | _holds(window, _BUTTON)
     two_texts = F.size(F.regexp_extract_all(window, F.lit(_TEXT_INPUT), F.lit(0))) >= 2
-    area = window.rlike("(?i)textarea") & (inside.rlike(_ASKS) | tight.rlike(_ASKS) | (name & mail) | (text & mail & sends) | (sends & two_texts & mail_like) | (sends & tel & name))
-    reserves = window.rlike("(?i)textarea") & window.rlike(_RESERVE) & ~asks
-    bare = (mail | tel) & submit & inside.rlike(_ASKS_SHORT)
-    return user & ~refused & ~(topical & ~asks) & ~reserves & (area | bare)
+    message = area & (_holds(inside, _ASKS) | _holds(tight, _ASKS) | (name & mail) | (text & mail & sends) | (sends & two_texts & mail_like) | (sends & tel & name))
+    reserves = area & _holds(window, _RESERVE) & ~asks
+    bare = (mail | tel) & submit & _holds(inside, _ASKS_SHORT)
+    return user & ~refused & (asks | ~topical) & ~reserves & (message | bare)
 
 
 # Titles and marks of form pages.
