@@ -93,6 +93,22 @@ def test_pages(spark):
     assert page_of(spark, None) == page_of(spark, " ") == page_of(spark, "なし") == ""
 
 
+def test_escapes_within_escapes(spark):
+    """A copy with one character percent-encoded may have hit a digit of an escape: %9%42 for %9B."""
+    site, sent = "https://a.example/", "https://a.example/%E3%81%8A%E5%95%8F%E3%81%84%E5%90%88%E3%82%8F%E3%81%9B/"
+    for digits in ("%9%42", "%9%62", "%%39B", "%%39%42"):
+        assert page_of(spark, sent.replace("%9B", digits)) == page_of(spark, sent) == "a.example/お問い合わせ", digits
+    assert page_of(spark, site + "?q=%E3%8%31%82") == page_of(spark, site + "?q=%E3%81%82")
+    # well-formed escapes are read once; what is no escape stays, and so do two pages that differ in it
+    assert page_of(spark, site + "%25%34%31") == "a.example/%41" and page_of(spark, site + "%2541") == "a.example/%41"
+    assert page_of(spark, site + "50%") == "a.example/50%" and page_of(spark, site + "50%%3x") == "a.example/50%%3x"
+    schema = "id string, form_url string, hp_url string, ord bigint"
+    past = spark.createDataFrame([("c", sent, None, 0)], schema)
+    new = spark.createDataFrame([("n", sent.replace("%9B", "%9%42"), "", 1), ("o", sent.replace("%9B", "%9%43"), "", 2)], schema)
+    got = history.repeats(past, new, "id", {"form": "form_url", "home": "hp_url"}, "ord").collect()
+    assert [tuple(r) for r in got] == [("n", "c")]
+
+
 def test_repeats_equal_the_loop(spark):
     rng = random.Random(9)
     for n in range(4):
